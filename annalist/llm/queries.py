@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.llm import groups, mixing, packing
+from annalist.llm.pii import operator as pii
 from annalist.session import table
 
 
@@ -16,6 +17,14 @@ def p1_sizes(spark: SparkSession, d: str) -> DataFrame:
     return groups.sizes(p1_found(spark, d))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "event_log"), table(spark, d, "commits"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "event_log"), table(spark, d, "commits"))
+
+
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "context_budgets"))
 
@@ -32,6 +41,6 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(p9_mix(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p8_pack, p8_report, p9_mix, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_redacted, p8_pack, p8_report, p9_mix, p9_report)}
 
 SQL: dict[str, str] = {}
