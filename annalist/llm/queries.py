@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from annalist.llm import groups, mixing, packing
+from annalist.llm import abuse, groups, mixing, packing
 from annalist.llm.pii import operator as pii
 from annalist.session import table
 
@@ -41,6 +42,30 @@ def p9_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.report(p9_mix(spark, d), table(spark, d, "source_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_redacted, p8_pack, p8_report, p9_mix, p9_report)}
+def _abuse(spark: SparkSession, d: str) -> tuple[DataFrame, abuse.Model]:
+    docs = table(spark, d, "documents")
+    return docs, abuse.fit(docs, table(spark, d, "doc_labels"), table(spark, d, "watch_terms"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(table(spark, d, "documents"), table(spark, d, "doc_labels"), table(spark, d, "watch_terms"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs, model = _abuse(spark, d)
+    return abuse.score(docs, model).select("doc_id", F.round("score", 6).alias("score"), "n_sentences", "flagged")
+
+
+def p10_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs, model = _abuse(spark, d)
+    return abuse.score(docs, model, located=True).select("doc_id", "sentence_no", "sentence", F.round("score", 6).alias("score"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    docs, model = _abuse(spark, d)
+    return abuse.rates(docs, abuse.score(docs, model))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_redacted, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_scores, p10_sentences, p10_rates)}
 
 SQL: dict[str, str] = {}
