@@ -200,29 +200,70 @@ def noisy_or(p: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
 FALSE_YES, FALSE_NO = 0.06, 0.06
 
 
-def _descend(feats: np.ndarray, of: np.ndarray, docs: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
+class Bags:
+    """Training sentences: words and pairs of words per sentence, features per distinct word."""
+
+    def __init__(self, texts: list[str], watch: dict[str, str]):
+        table, parts, n_s = Words(watch), [], 0
+        for at in range(0, len(texts), BATCH):
+            words, sentence, docs, _ = sentences(texts[at : at + BATCH])
+            if not words:
+                continue
+            ids = table.of(words)
+            f, of = pairs(ids, sentence, np.array(table.pair))
+            parts.append([x.astype(np.int32) for x in (ids, sentence + n_s, docs + at, f, of + n_s)])
+            n_s += len(docs)
+        joined = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, dtype=np.int32)] * 5
+        self.ids, self.sentence, self.docs, self.pair_feature, self.pair_of = joined
+        self.n = len(texts)
+        self.word_of = np.repeat(np.arange(len(table.features), dtype=np.int32), [len(f) for f in table.features])
+        self.word_feature = np.fromiter((x for f in table.features for x in f), dtype=np.int32, count=len(self.word_of))
+        # What only one document has says nothing about others.
+        doc = self.docs[self.sentence]
+        low, high = np.full(len(table.features), self.n), np.full(len(table.features), -1)
+        np.minimum.at(low, self.ids, doc)
+        np.maximum.at(high, self.ids, doc)
+        first, last = np.full(SIZE, self.n), np.full(SIZE, -1)
+        np.minimum.at(first, self.word_feature, low[self.word_of])
+        np.maximum.at(last, self.word_feature, high[self.word_of])
+        doc = self.docs[self.pair_of]
+        np.minimum.at(first, self.pair_feature, doc)
+        np.maximum.at(last, self.pair_feature, doc)
+        self.shared = first < last
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        by_word = np.bincount(self.word_of, weights=w[self.word_feature], minlength=int(self.ids.max(initial=-1)) + 1)
+        s = np.bincount(self.sentence, weights=by_word[self.ids], minlength=len(self.docs))
+        return s + np.bincount(self.pair_of, weights=w[self.pair_feature], minlength=len(self.docs)) + b
+
+    def gradient(self, g: np.ndarray) -> np.ndarray:
+        """Of all weights, from that of the sentence scores."""
+        by_word = np.bincount(self.ids, weights=g[self.sentence], minlength=int(self.word_of.max(initial=-1)) + 1)
+        out = np.bincount(self.word_feature, weights=by_word[self.word_of], minlength=SIZE)
+        return out + np.bincount(self.pair_feature, weights=g[self.pair_of], minlength=SIZE)
+
+
+def _descend(bags: Bags, y: np.ndarray, weight: np.ndarray, epochs: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
     """Adagrad on the log loss of noisy-or under labels that are wrong now and then; every step sees all bags.
 
     A label says yes with probability q = FALSE_YES + (1 - FALSE_YES - FALSE_NO) P.  A clean document called toxic then
     pulls only weakly on sentences that nothing else speaks against, instead of forcing them up.
     """
-    n_s, n = len(docs), len(y)
     w, b = np.zeros(SIZE), -4.0
     h, hb = np.full(SIZE, 1e-6), 1e-6
-    used = np.unique(feats)
+    total = weight.sum()
+    slope = 1 - FALSE_YES - FALSE_NO
     for _ in range(epochs):
-        s = np.bincount(of, weights=w[feats], minlength=n_s) + b
-        p = 1.0 / (1.0 + np.exp(-np.clip(s, -30, 30)))
-        bag = np.clip(noisy_or(p, docs, n), 1e-6, 1 - 1e-9)
+        p = 1.0 / (1.0 + np.exp(-np.clip(bags.scores(w, b), -30, 30)))
+        bag = np.clip(noisy_or(p, bags.docs, bags.n), 1e-6, 1 - 1e-9)
         # d P / d s of a sentence is p (1 - P); d loss / d P is (1 - y) / (1 - q) - y / q, times the slope of q.
-        slope = 1 - FALSE_YES - FALSE_NO
         q = FALSE_YES + slope * bag
-        g = p * ((1 - bag) * slope * ((1 - y) / (1 - q) - y / q) * weight)[docs]
-        grad = np.bincount(feats, weights=g[of], minlength=SIZE) / n + l2 * w
-        gb = g.sum() / n
-        h[used] += grad[used] ** 2
+        g = p * ((1 - bag) * slope * ((1 - y) / (1 - q) - y / q) * weight)[bags.docs]
+        grad = np.where(bags.shared, bags.gradient(g) / total + l2 * w, 0.0)
+        gb = g.sum() / total
+        h += grad**2
         hb += gb * gb
-        w[used] -= rate * grad[used] / np.sqrt(h[used])
+        w -= rate * grad / np.sqrt(h)
         b -= 0.3 * rate * gb / np.sqrt(hb)
     return w, float(b)
 
@@ -233,39 +274,13 @@ def train(texts: list[str], y: np.ndarray, weight: np.ndarray, watch: dict[str,
     With too few toxic documents to spare a fold, one model is fitted on all.
     """
     opened = [open_text(t) for t in texts]
-    words, sentence, docs, _ = sentences(opened)
-    table = Words(watch)
-    ids = table.of(words)
-    n_f = np.array([len(f) for f in table.features])
-    starts = np.concatenate([[0], np.cumsum(n_f)])[:-1]
-    flat = np.fromiter((x for f in table.features for x in f), dtype=np.int64, count=int(n_f.sum()))
-    # Features of all words, word by word.
-    reps = n_f[ids]
-    offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    feats = flat[np.repeat(starts[ids], reps) + offset]
-    of = np.repeat(sentence, reps)
-    pf, pof = pairs(ids, sentence, np.array(table.pair))
-    feats, of = np.concatenate([feats, pf]), np.concatenate([of, pof])
-    # What only one document has says nothing about others.
-    low, high = np.full(SIZE, len(texts)), np.full(SIZE, -1)
-    np.minimum.at(low, feats, docs[of])
-    np.maximum.at(high, feats, docs[of])
-    shared = (low != high)[feats]
-    feats, of = feats[shared], of[shared]
-    n = len(texts)
+    bags = Bags(opened, watch)
     fold = np.array([fold_of(t, folds) for t in opened])
-    if n < 30 or min(int(y[fold != k].sum()) for k in range(folds)) < 3:
-        w, b = _descend(feats, of, docs, y, weight, epochs, rate, l2)
+    if len(texts) < 30 or min(int(y[fold != k].sum()) for k in range(folds)) < 3:
+        w, b = _descend(bags, y, weight, epochs, rate, l2)
         return Model(w.astype(np.float32)[None], np.array([b]), THRESHOLD, watch)
-    ws, bs = [], []
-    for k in range(folds):
-        inside = fold[docs] != k
-        remap, keep, sub, pos = np.cumsum(inside) - 1, inside[of], np.flatnonzero(fold != k), np.full(n, -1)
-        pos[sub] = np.arange(len(sub))
-        w, b = _descend(feats[keep], remap[of[keep]], pos[docs[inside]], y[sub], weight[sub], epochs, rate, l2)
-        ws.append(w.astype(np.float32))
-        bs.append(b)
-    return Model(np.stack(ws), np.array(bs), THRESHOLD, watch)
+    fits = [_descend(bags, y, weight * (fold != k), epochs, rate, l2) for k in range(folds)]
+    return Model(np.stack([w.astype(np.float32) for w, _ in fits]), np.array([b for _, b in fits]), THRESHOLD, watch)
 
 
 def fit(documents: DataFrame, labels: DataFrame, watch_terms: DataFrame) -> Model:
