@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from annalist.plans import core_problems
+from annalist.plans import core_problems, fold_queries, search_queries
+
+_MODULES = (core_problems, search_queries, fold_queries)
 
 
 def queries() -> dict:
-    return dict(core_problems.QUERIES)
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in _MODULES for k, q in getattr(m, "SQL", {}).items()}
