@@ -37,7 +37,7 @@ def shape_mask(c: Column) -> Column:
     m = F.regexp_replace(c, r"\[[^\]]+\]$", "[a]")
     m = F.translate(F.regexp_replace(m, "[A-Za-z]+", "a"), "012345678", "999999999")
     m = F.regexp_replace(m, r"(:99:99|a999999)[.,]9+", "$1.f")
-    return F.regexp_replace(m, r"\b9\b", "99")
+    return F.regexp_replace(m, r"(?<!9)9(?!9)", "99")
 
 
 @functools.lru_cache(maxsize=1)
