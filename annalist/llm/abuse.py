@@ -32,7 +32,7 @@ SIZE = 1 << BITS
 THRESHOLD = 0.4
 BATCH = 500
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+(?=\s)|;(?=\s)|(?=\n)|$)")
-_SPACED = re.compile(r"(?<![^\W_])[^\W_](?:[ ._*-][^\W_]){3,}(?![^\W_])")
+_SPACED = re.compile(r"(?<![^\W_])[^\W_]([ ._*-])[^\W_](?:\1[^\W_]){2,}(?![^\W_])")
 _WORD = re.compile(r"[^\W_](?:[\w*@$+!'’|]*[\w*])?")
 # Letters that look like Latin ones, and signs that stand for letters.
 _ALIKE = str.maketrans("аеорсухіјѕԁһӏкмтвнгАЕОРСУХІЈЅКМТВНαορενικτυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhlkmtbhrAEOPCYXIJSKMTBHaopevikTuABEZHIKMNOPTYX".replace("T", "t", 1))

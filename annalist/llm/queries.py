@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.llm import abuse, groups, mixing, packing
 from annalist.llm.pii import operator as pii
+from annalist.plans.sqlkit import PREFIX, cid
 from annalist.session import table
 
 
@@ -68,4 +69,12 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p4_found, p4_redacted, p8_pack, p8_report, p9_mix, p9_report, p10_found, p10_scores, p10_sentences, p10_rates)}
 
-SQL: dict[str, str] = {}
+_GROUPS = f"""pairs AS (SELECT {cid('id')} AS a, {cid('x')} AS b FROM (SELECT id, unnest(aliases) AS x FROM entities) WHERE regexp_matches({cid('x')}, {PREFIX}) UNION SELECT {cid('alias')}, {cid('canonical')} FROM alias_links WHERE is_match),
+  e AS (SELECT a, b FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b UNION SELECT b, a FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+  reach AS (SELECT a AS id, b AS other FROM e UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other),
+  grp AS (SELECT id, min(least(id, other)) AS group_id FROM reach GROUP BY id)"""
+
+SQL: dict[str, str] = {
+    "p1_found": f"WITH RECURSIVE {_GROUPS} SELECT id, group_id FROM grp",
+    "p1_sizes": f"WITH RECURSIVE {_GROUPS} SELECT n_ids, count(*) AS n_groups FROM (SELECT group_id, count(*) AS n_ids FROM grp GROUP BY group_id) GROUP BY n_ids",
+}
