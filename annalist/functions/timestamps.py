@@ -105,7 +105,10 @@ def _parsed(df: DataFrame, ts: str) -> DataFrame:
     """
     spark = df.sparkSession
     # The parser table has a size fixed by the grammar (about 4,000 rows), so it may always be broadcast.
-    table = F.broadcast(spark.createDataFrame(parsers()))
+    table = getattr(spark, "_annalist_parsers", None)
+    if table is None:
+        table = spark._annalist_parsers = spark.createDataFrame(parsers())
+    table = F.broadcast(table)
     d = df.withColumn("t_s", F.regexp_replace(F.btrim(F.col(ts), F.lit(WHITE)), r"\s+", " "))
     d = d.withColumn("p_mask", shape_mask(F.col("t_s"))).join(table, "p_mask", "left")
     d = d.withColumn("t_n", F.when(F.col("p_form").isNotNull(), F.regexp_extract_all(F.regexp_replace("t_s", r"\[[^\]]+\]$", ""), F.lit("([0-9]+)"), 1)))

@@ -132,4 +132,7 @@ def rows() -> tuple[pa.Table, int]:
 
 def zone_table(spark: SparkSession) -> tuple[DataFrame, int]:
     t, width = rows()
-    return spark.createDataFrame(t), width
+    held = getattr(spark, "_annalist_zones", None)
+    if held is None:
+        held = spark._annalist_zones = spark.createDataFrame(t)
+    return held, width

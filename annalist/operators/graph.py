@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.ids import clean_id
-from annalist.session import cut
+from annalist.session import cut, cut_counted
 
 # From which degree on a node is a hub.
 HUB_FACTOR, HUB_FLOOR = 20, 25
@@ -85,22 +85,22 @@ def alias_roots(aliases: DataFrame) -> DataFrame:
 
     Aliases that form a cycle have no root and are left out; those that lead into one get the member they reach first.
     """
-    d = cut(aliases.select(F.col("alias").alias("id"), F.col("canonical").alias("up")), "alias")
-    total, k = d.count(), 0
+    d, total = cut_counted(aliases.select(F.col("alias").alias("id"), F.col("canonical").alias("up")), "alias")
+    k = 0
     far = d
     while (1 << k) <= total:
-        far = cut(far.join(far.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up")), "far")
+        far, left = cut_counted(far.join(far.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up")), "far")
         k += 1
-        if not far.limit(1).count():
+        if not left:
             break
     # Whoever can still be reached after more steps than there are aliases lies in a cycle.
     cycle = far.select(F.col("up").alias("id")).distinct()
     d = cut(d.join(cycle, "id", "left_anti"), "alias")
     while True:
         up = d.select(F.col("id").alias("up"), F.col("up").alias("up2"))
-        moved = cut(d.join(up, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("open")), "alias")
+        moved, left = cut_counted(d.join(up, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("open")), "alias", "open")
         d = moved.select("id", "up")
-        if not moved.where("open").limit(1).count():
+        if not left:
             break
     return d.select(F.col("id").alias("alias"), F.col("up").alias("canonical"))
 
@@ -125,14 +125,12 @@ def temporal_events(log: DataFrame, relations: DataFrame, seeds: DataFrame, hops
     refs = log.select("id", F.explode(F.filter("refs", lambda r: r["kind"].isin(*NODE_REF_KINDS))).alias("r")).select(F.col("id").alias("event_id"), clean_id(F.col("r.id")).alias("node")).where("node IS NOT NULL")
     moving = relations.where(F.col("predicate").isin(*TEMPORAL)).select("source", "target")
     edges = cut(moving.unionByName(moving.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "edges")
-    nodes = cut(seeds.select(F.col("id").alias("node")).distinct(), "nodes")
-    size = nodes.count()
+    nodes, size = cut_counted(seeds.select(F.col("id").alias("node")).distinct(), "nodes")
     for _ in range(max(hops, 1) + 1):
         events = touch.join(nodes, "node", "left_semi").select("event_id").distinct()
         named = refs.join(events, "event_id", "left_semi").select("node")
         along = edges.join(nodes.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node"))
-        nodes = cut(nodes.unionByName(events.select(F.col("event_id").alias("node"))).unionByName(named).unionByName(along).distinct(), "nodes")
-        now = nodes.count()
+        nodes, now = cut_counted(nodes.unionByName(events.select(F.col("event_id").alias("node"))).unionByName(named).unionByName(along).distinct(), "nodes")
         if now == size:
             break
         size = now

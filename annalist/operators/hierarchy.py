@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.ids import clean_id
-from annalist.session import cut
+from annalist.session import cut, cut_counted
 
 #: Siblings of one parent that are numbered in one task; more are split by hash into chunks.
 SIBLINGS_PER_CHUNK = 100_000
@@ -47,14 +47,12 @@ def subtree_sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     node of it, so when a round finishes none, the rest are in or below cycles.
     """
     d = nodes.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("size"))
-    d = cut(d, "sizes")
-    open_before = d.where("up IS NOT NULL").count()
+    d, open_before = cut_counted(d, "sizes", "up IS NOT NULL")
     while open_before:
         below = d.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("more"))
         jump = d.select(F.col("id").alias("up"), F.col("up").alias("up2"))
         d = d.join(below, "id", "left").join(jump, "up", "left").select("id", "parent", F.col("up2").alias("up"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
-        d = cut(d, "sizes")
-        now = d.where("up IS NOT NULL").count()
+        d, now = cut_counted(d, "sizes", "up IS NOT NULL")
         if now == open_before:
             break
         open_before = now
@@ -88,12 +86,12 @@ def nested_sets(links_: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized, stuck = subtree_sizes(_nodes(links_))
     d = sibling_offsets(sized)
     d = d.select("id", F.coalesce("parent", "id").alias("root_id"), F.col("parent").alias("up"), F.col("size"), F.col("step").alias("lft"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.array("id").alias("path"))
-    d = cut(d, "ranges")
-    while d.where("up IS NOT NULL").limit(1).count():
+    d, left = cut_counted(d, "ranges", "up IS NOT NULL")
+    while left:
         above = d.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("root_id").alias("root2"), F.col("lft").alias("lft2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"))
         moved = d.where("up IS NOT NULL").join(above, "up")
         moved = moved.select("id", F.col("root2").alias("root_id"), F.col("up2").alias("up"), "size", (F.col("lft") + F.col("lft2")).alias("lft"), (F.col("depth") + F.col("depth2")).alias("depth"), F.concat("path2", "path").alias("path"))
-        d = cut(d.where("up IS NULL").unionByName(moved), "ranges")
+        d, left = cut_counted(d.where("up IS NULL").unionByName(moved), "ranges", "up IS NOT NULL")
     full = d.select("id", "root_id", "depth", "path", "lft", (F.col("lft") + F.col("size") - 1).alias("rgt"), (F.col("size") - 1).alias("n_descendants"))
     return full, stuck
 

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -48,6 +49,13 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, label: str = "cut", where: str = "true") -> tuple[DataFrame, int]:
+    """``cut``, and how many rows meet a condition, counted while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count_if(F.expr(where)).alias("n")), label)
+    return out, int(seen.get["n"] or 0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a scratch path; missing paths are ignored."""
     jvm = spark.sparkContext._jvm
