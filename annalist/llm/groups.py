@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.ids import clean_id, is_entity_id
 from annalist.operators.skew import join_unique
-from annalist.session import cut
+from annalist.session import cut, cut_counted
 
 MAX_ROUNDS = 200
 
@@ -72,14 +72,13 @@ def _contract(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
 
 def components(pairs: DataFrame) -> DataFrame:
     """``id`` and ``group_id`` (smallest id of the group) of every id in ``pairs`` (distinct, ``a`` < ``b``)."""
-    edges = cut(pairs.select("a", "b"), "edges")
-    left, removed = edges.count(), []
+    edges, left = cut_counted(pairs.select("a", "b"), "edges")
+    removed = []
     for k in range(MAX_ROUNDS):
         if not left:
             break
         d, r = _reduce(edges, k)
-        r = cut(r, "removed")
-        n = r.count()
+        r, n = cut_counted(r, "removed")
         if n:
             removed.append(r)
         if n * 20 < left:
@@ -90,8 +89,7 @@ def components(pairs: DataFrame) -> DataFrame:
                 d = edges
             d, r = _contract(d, k)
             removed.append(cut(r, "removed"))
-        edges = cut(d, "edges")
-        left = edges.count()
+        edges, left = cut_counted(d, "edges")
     else:
         raise RuntimeError("the reduction did not end")
     if not removed:
@@ -101,9 +99,9 @@ def components(pairs: DataFrame) -> DataFrame:
         # up <- up of up; a vertex that was never removed is the end of the line.
         step = forest.select(F.col("v").alias("up"), F.col("up").alias("up2"))
         moved = join_unique(forest, step, "up", "left").select("v", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("open"))
-        moved = cut(moved, "forest")
+        moved, still = cut_counted(moved, "forest", "open")
         forest = moved.select("v", "up")
-        if not moved.where("open").limit(1).count():
+        if not still:
             break
     names = forest.groupBy("up").agg(F.min("v").alias("least")).select("up", F.least("up", "least").alias("group_id"))
     members = join_unique(forest, names, "up").select(F.col("v").alias("id"), "group_id")
