@@ -19,21 +19,20 @@ def degrees(relations: DataFrame) -> DataFrame:
     return relations.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def hub_limit(relations: DataFrame) -> DataFrame:
-    """One row ``cap``: hubs have more ends than this, 20 times the upper median degree, at least 25.
+def hub_limit(relations: DataFrame) -> int:
+    """Hubs have more ends than this: 20 times the upper median degree, at least 25.
 
     The median is read off the histogram of degrees, which has few rows whatever the size of the graph.
     """
     h = degrees(relations).groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
-    h = h.withColumn("upto", F.sum("n").over(Window.orderBy("degree").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    half = h.agg(F.expr("sum(n) div 2").alias("half"))
-    median = h.join(F.broadcast(half), F.col("upto") > F.col("half")).agg(F.min("degree").alias("median"))
-    return median.select(F.greatest(F.lit(HUB_FACTOR) * F.col("median"), F.lit(HUB_FLOOR)).alias("cap"))
+    w = Window.orderBy("degree")
+    h = h.withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    median = h.where("upto > total div 2").agg(F.min("degree")).first()[0]
+    return max(HUB_FACTOR * (median or 0), HUB_FLOOR)
 
 
 def hubs(relations: DataFrame) -> DataFrame:
-    d = degrees(relations)
-    return d.join(F.broadcast(hub_limit(relations)), F.col("degree") > F.col("cap")).select("id", "degree")
+    return degrees(relations).where(F.col("degree") > hub_limit(relations)).select("id", "degree")
 
 
 def subgraph(relations: DataFrame, centers: DataFrame, hops: int = 2, through_hubs: bool = False) -> DataFrame:
@@ -67,9 +66,8 @@ def held_back(relations: DataFrame, centers: DataFrame, hops: int = 2) -> DataFr
     """One row: relations shown, and further ones that only hubs lead to."""
     near = subgraph(relations, centers, hops).select("source", "predicate", "target")
     far = subgraph(relations, centers, hops, through_hubs=True).select("source", "predicate", "target")
-    n = near.agg(F.count(F.lit(1)).alias("shown"))
-    m = far.join(near, ["source", "predicate", "target"], "left_anti").agg(F.count(F.lit(1)).alias("held"))
-    return n.join(m, F.lit(True))
+    both = near.withColumn("held", F.lit(0).cast("bigint")).unionByName(far.join(near, ["source", "predicate", "target"], "left_anti").withColumn("held", F.lit(1).cast("bigint")))
+    return both.agg(F.count_if(F.col("held") == 0).alias("shown"), F.count_if(F.col("held") == 1).alias("held"))
 
 
 def profile_candidates(relations: DataFrame, entities: DataFrame, sources: DataFrame, top: int = 12, least: int = 3) -> DataFrame:

@@ -118,7 +118,12 @@ def legend(entities: DataFrame, log: DataFrame) -> DataFrame:
     """Citations that two or more entities carry, numbered by the smallest entity that carries them."""
     c = citations(entities).join(log.select(F.col("id").alias("event_id")), "event_id", "left_semi")
     n = c.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n >= 2")
-    return n.withColumn("tag", F.row_number().over(Window.orderBy("first_id", "event_id")).cast("bigint")).select("event_id", "n", "tag")
+    # Numbered chunk by chunk of equal beginnings with carried totals, so that no task orders all citations.
+    n = n.withColumn("part", F.substring("first_id", 1, 8))
+    size = n.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    base = size.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    r = F.row_number().over(Window.partitionBy("part").orderBy("first_id", "event_id"))
+    return n.withColumn("r", r).join(base, "part").select("event_id", "n", (F.col("r") + F.col("before")).alias("tag"))
 
 
 def trimmed_facts(entities: DataFrame) -> DataFrame:

@@ -60,10 +60,10 @@ def match_entities(entities: DataFrame, text: str, limit: int = 5) -> DataFrame:
     hit = F.array_intersect(own, F.array(*[F.lit(w) for w in wanted]).cast("array<string>"))
     d = d.select("id", F.when(is_phrase, 3.0 + F.length(F.lower("name")) / 100).alias("phrase"), F.when(~is_phrase, hit).alias("hit"), F.size(own).alias("width"))
     d = d.where(F.col("phrase").isNotNull() | (F.size("hit") > 0))
-    n = entities.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("total"))
+    total = F.lit(max(1, entities.count()))
     reached = d.select("id", F.explode("hit").alias("token")).distinct().groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # One row per query word and one total: bounded by the query.
-    weight = reached.join(F.broadcast(n), F.lit(True)).select("token", (F.log(1 + F.col("total") / F.col("df")) / F.log(1 + F.col("total"))).alias("w"))
+    # One row per query word: bounded by the query.
+    weight = reached.select("token", (F.log(1 + total / F.col("df")) / F.log(1 + total)).alias("w"))
     scored = d.withColumn("k", F.monotonically_increasing_id())
     parts = scored.where(F.size("hit") > 0).select("k", "id", "width", F.size("hit").alias("n_hit"), F.explode("hit").alias("token")).join(F.broadcast(weight), "token")
     overlap = parts.groupBy("k", "id", "width", "n_hit").agg(F.sum("w").alias("s")).select("id", (F.col("s") + F.col("n_hit") / F.col("width") / 100).alias("score"))

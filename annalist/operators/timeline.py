@@ -145,7 +145,8 @@ def verdicts(seq: DataFrame, graph_: fold.Graph, matched: list[str], titled: lis
     e = graph_.entities.where(F.col("id").isin(matched)).select(F.col("id").alias("eid"), "status", "superseded_by")
     ev = F.struct("ts", "id", "citation")
     own = graph_.sources.where(F.col("id").isin(matched)).select(F.col("id").alias("eid"), F.col("event_id").alias("id")).join(s.select("id", "ts", "citation"), "id").groupBy("eid").agg(F.max(ev).alias("own"))
-    any_ = s.agg(F.max(ev).alias("latest"))
+    last = s.agg(F.max(ev)).first()[0]
+    latest = F.struct(*[F.lit(last[k] if last else None).cast("string").alias(k) for k in ("ts", "id", "citation")])
     move = changed.join(s.select("id", "ts", "citation"), "id").groupBy("eid").agg(F.max(ev).alias("moved"))
     gone = s.select(ev.alias("x"), "primary", F.explode("supersedes").alias("t")).select("x", clean_id(F.col("t")).alias("eid"), F.col("primary").alias("who"))
     edge = s.select(ev.alias("x"), F.explode("edges").alias("g"))
@@ -155,7 +156,7 @@ def verdicts(seq: DataFrame, graph_: fold.Graph, matched: list[str], titled: lis
     shas = created.where(F.col("eid").isin(matched)).join(s.select(F.col("id").alias("created"), F.array_distinct(F.transform(F.filter("refs", lambda r: r["kind"] == "commit"), lambda r: r["id"])).alias("shas")), "created").where("size(shas) = 1").select("eid", F.col("shas")[0].alias("sha"))
     undo = s.where("undone <> ''").select(ev.alias("x"), F.col("undone"), F.substring("undone", 1, 7).alias("k"))
     rev = shas.withColumn("k", F.substring("sha", 1, 7)).join(undo, "k").where(F.expr("startswith(undone, sha) OR startswith(sha, undone)")).groupBy("eid").agg(F.max("x").alias("rev"))
-    d = e.join(own, "eid", "left").join(move, "eid", "left").join(sup, "eid", "left").join(rev, "eid", "left").join(F.broadcast(any_), F.lit(True))
+    d = e.join(own, "eid", "left").join(move, "eid", "left").join(sup, "eid", "left").join(rev, "eid", "left").withColumn("latest", latest)
     is_sup, is_rev = F.col("status") == "superseded", F.col("rev").isNotNull()
     at = F.when(is_sup, F.coalesce("sup", "moved", "own", "latest")).when(is_rev, F.col("rev")).otherwise(F.coalesce("moved", "own", "latest"))
     state = F.when(is_sup, "SUPERSEDED").when(is_rev, "NOT PRESENT").otherwise(F.upper("status"))
