@@ -16,6 +16,7 @@ from annalist.functions.ids import clean_id, clean_str
 from annalist.functions.timestamps import to_us
 from annalist.operators import chunked
 from annalist.operators.instants import event_instants
+from annalist.session import cut, cut_observed
 
 
 def known_states(*tables: DataFrame) -> DataFrame:
@@ -85,10 +86,9 @@ def found(events: DataFrame, states: list[DataFrame], source_formats: DataFrame,
     Events before the first known state of an entity, and entities without states, give no row.  Empty tables give no
     rows.
     """
-    points = referred(events, source_formats)
-    known = known_states(*states)
-    # The latest instant any stamp can denote within the log bounds the empty chunks; one row reaches the driver.
-    horizon = points.agg(F.max("instant_us")).first()[0]
+    # The log is read once: the latest instant, up to which empty chunks are filled, is observed on the way.
+    points, horizon = cut_observed(referred(events, source_formats), "points", F.max("instant_us"))
+    known = cut(known_states(*states), "known")
     if horizon is None:
         horizon = 0
     factors = chunked.split_factors(known, "entity_id", width_days)

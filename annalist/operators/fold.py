@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.ids import clean_id
 from annalist.operators.chunked import lag_across
-from annalist.operators.skew import join_unique
+from annalist.operators.skew import hot_keys, join_unique
 
 # What else makes an end of a relation an id.
 END_PREFIX = r"^(svc-|feat-|ext-|env-|team-|secret-|goal-|adr-|inc-|evt-|doc-|principle-|module-|person-|PR-|pr-|task-)"
@@ -75,10 +75,14 @@ def replay(log: DataFrame, as_of: str = "", aliases: DataFrame | None = None) ->
     core = asserted.groupBy("id").agg(F.min(at).alias("first"), F.min_by("type", at).alias("type"), F.min_by("name", at).alias("name"), given("description").alias("description"), given("summary").alias("summary"), F.count(F.lit(1)).alias("n"))
     born = core.select("id", F.col("first.ts").alias("born_ts"), F.col("first.event_id").alias("born_id"))
 
+    # Hot ids are looked for once, over all that is joined below.
+    named_ids = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in (F.transform("derived_relations", lambda r: clean_id(r["source"])), F.transform("derived_relations", lambda r: clean_id(r["target"])), F.transform("refs", lambda r: clean_id(r["id"])), F.transform("supersedes", clean_id))])
+    hot = hot_keys(log.select(F.explode(named_ids).alias("id")), "id")
+
     def known(d: DataFrame, col: str, out: str) -> DataFrame:
         """Whether the entity named by ``col`` has been derived by this event or an earlier one."""
         b = born.withColumnRenamed("id", col)
-        d = join_unique(d, b, col, "left")
+        d = join_unique(d, b, col, "left", hot=hot)
         return d.withColumn(out, F.coalesce((F.col("born_ts") < F.col("ts")) | ((F.col("born_ts") == F.col("ts")) & (F.col("born_id") <= F.col("event_id"))), F.lit(False))).drop("born_ts", "born_id")
 
     r = log.select(*base, F.posexplode("derived_relations").alias("pos", "r")).select(*base[:1], "event_id", "impact", "event_domains", "pos", clean_id(F.col("r.source")).alias("source"), F.coalesce("r.predicate", F.lit("")).alias("predicate"), clean_id(F.col("r.target")).alias("target"), F.nullif("r.ts", F.lit("")).alias("own_ts"), clean_id(F.col("r.provenance")).alias("own_prov"))

@@ -20,6 +20,7 @@ from annalist.functions.ids import clean_id, clean_str
 from annalist.functions.timestamps import format_us
 from annalist.operators import chunked
 from annalist.operators.instants import event_instants
+from annalist.session import cut
 
 CHAIN = "id string, from_us bigint, until_us bigint, status string, superseded_by string"
 
@@ -125,7 +126,7 @@ def found(store: HistoryStore, events: DataFrame, source_formats: DataFrame, lat
     The split is by arrival (``seen_at``), at the quantile that leaves about ``late_share`` of the rows for the update;
     where it lies never changes the result.  Empty tables give no rows.
     """
-    raw = assertions(events, source_formats)
+    raw = cut(assertions(events, source_formats), "assertions")
     bound = raw.where("seen_at IS NOT NULL").agg(F.percentile_approx(F.unix_micros(F.col("seen_at").cast("timestamp")), 1.0 - late_share, 1000).alias("b")).first()[0]
     at = F.coalesce(F.unix_micros(F.col("seen_at").cast("timestamp")), F.lit(0))
     store.apply(raw.where(at <= F.lit(bound or 0)))

@@ -19,13 +19,14 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE, least: int = 1
     return [r[0] for r in top if r["n"] >= share * total]
 
 
-def join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE) -> DataFrame:
+def join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE, hot: list | None = None) -> DataFrame:
     """Join ``rows`` to ``lookup``, which has one row per key, without sending a hot key to one task.
 
     Rows of hot keys stay where they are and meet their few lookup rows by broadcast (their number is bounded by
-    1 / share); all others are shuffled.
+    1 / share); all others are shuffled.  ``hot`` may be given where it has been found already.
     """
-    hot = hot_keys(rows, key, share)
+    if hot is None:
+        hot = hot_keys(rows, key, share)
     if not hot:
         return rows.join(lookup, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -49,11 +49,17 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_observed(df: DataFrame, label: str, figure: Column) -> tuple[DataFrame, object]:
+    """``cut``, and an aggregate over its rows that is taken while they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, figure.alias("n")), label)
+    return out, seen.get["n"]
+
+
 def cut_counted(df: DataFrame, label: str = "cut", where: str = "true") -> tuple[DataFrame, int]:
     """``cut``, and how many rows meet a condition, counted while they are written."""
-    seen = Observation()
-    out = cut(df.observe(seen, F.count_if(F.expr(where)).alias("n")), label)
-    return out, int(seen.get["n"] or 0)
+    out, n = cut_observed(df, label, F.count_if(F.expr(where)))
+    return out, int(n or 0)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
