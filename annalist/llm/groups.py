@@ -41,10 +41,10 @@ def _pair(x, y) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _reduce(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """One round of stripping and compressing: (edges left, removed vertices ``v`` with ``up``)."""
+def _reduce(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """One round of stripping and compressing: (edges left, removed vertices ``v`` with ``up``, at least how many)."""
     # Degree and the two outermost neighbours come from one map-side combined aggregation, so hubs are never joined.
-    low = cut(_both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("n1"), F.max("v").alias("n2")).where("n <= 2"), "low")
+    low, n_leaves = cut_counted(_both_ways(edges).groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("n1"), F.max("v").alias("n2")).where("n <= 2"), "low", "n = 1")
     leaves = low.where("n = 1").select(*_pair(F.col("u"), F.col("n1")), "u")
     # Of two leaves that face each other the larger goes.
     strip = leaves.groupBy("a", "b").agg(F.max("u").alias("v")).withColumn("up", F.when(F.col("v") == F.col("a"), F.col("b")).otherwise(F.col("a")))
@@ -53,11 +53,12 @@ def _reduce(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     rank = low.select(F.col("u").alias("w"), F.col("n").alias("wn"), F.xxhash64("u", F.lit(k)).alias("wp"))
     blocked = near.join(rank, "w").where("wn = 1 OR wp > p OR (wp = p AND w > u)").select("u").distinct()
     bridged = chain.join(blocked, "u", "left_anti")
-    bridged = cut(bridged.select("u", "n1", "n2"), "bridged")
+    bridged, n_bridged = cut_counted(bridged.select("u", "n1", "n2"), "bridged")
     gone = strip.select("a", "b").unionByName(bridged.select(*_pair(F.col("u"), F.col("n1")))).unionByName(bridged.select(*_pair(F.col("u"), F.col("n2"))))
     left = edges.join(gone, ["a", "b"], "left_anti").unionByName(bridged.select(*_pair(F.col("n1"), F.col("n2")))).distinct()
     removed = strip.select("v", "up").unionByName(bridged.select(F.col("u").alias("v"), F.col("n1").alias("up")))
-    return left, removed
+    # Two leaves may face each other, in which case one of them stays.
+    return left, removed, (n_leaves + 1) // 2 + n_bridged
 
 
 def _contract(edges: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -77,8 +78,7 @@ def components(pairs: DataFrame) -> DataFrame:
     for k in range(MAX_ROUNDS):
         if not left:
             break
-        d, r = _reduce(edges, k)
-        r, n = cut_counted(r, "removed")
+        d, r, n = _reduce(edges, k)
         if n:
             removed.append(r)
         if n * 20 < left:
@@ -88,7 +88,7 @@ def components(pairs: DataFrame) -> DataFrame:
             else:
                 d = edges
             d, r = _contract(d, k)
-            removed.append(cut(r, "removed"))
+            removed.append(r)
         edges, left = cut_counted(d, "edges")
     else:
         raise RuntimeError("the reduction did not end")
