@@ -24,7 +24,7 @@ _FETCH = 10_000
 def recency(instant_us: Column, now_us: int, half_life: float = HALF_LIFE_DAYS) -> Column:
     """Halves with every half life of age; nothing for what was never touched, never more than 1."""
     age = F.greatest(F.lit(0.0), (F.lit(now_us) - instant_us) / F.lit(86_400_000_000))
-    return F.coalesce(F.pow(F.lit(0.5), age / half_life), F.lit(0.0))
+    return F.when(instant_us.isNull(), 0.0).otherwise(F.pow(F.lit(0.5), age / half_life))
 
 
 def domain_weight(domains: Column, weights: dict[str, float]) -> Column:

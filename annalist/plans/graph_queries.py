@@ -101,7 +101,7 @@ def _two_hops(stop: str) -> str:
 _NEAR = _two_hops("id NOT IN (SELECT id FROM hubs)")
 _W = " ".join(f"WHEN '{k}' THEN {v}" for k, v in DOMAINS.items())
 _SCORED = f"""{ENT}, sc0 AS (SELECT *, try_cast(regexp_replace(nullif(last_touched, ''), 'Z$', '') AS timestamp) AS hit_at, coalesce(list_max(list_transform(coalesce(domains, []), lambda x: CASE x {_W} ELSE 0 END)), 0)::double AS dw FROM ent),
-  sc1 AS (SELECT *, 0.4::double * coalesce(power(0.5::double, greatest(0, ({NOW_US} - epoch_us(hit_at)) / 86400000000.0::double) / 90.0::double), 0) + 0.3::double * (CASE impact WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.3 END)::double + 0.2::double * dw AS s FROM sc0),
+  sc1 AS (SELECT *, 0.4::double * (CASE WHEN hit_at IS NULL THEN 0 ELSE power(0.5::double, greatest(0, ({NOW_US} - epoch_us(hit_at)) / 86400000000.0::double) / 90.0::double) END) + 0.3::double * (CASE impact WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.6 ELSE 0.3 END)::double + 0.2::double * dw AS s FROM sc0),
   sc2 AS (SELECT *, round(CASE WHEN status IN ('superseded', 'achieved', 'dropped') THEN s * 0.3::double WHEN type = 'goal' OR (type = 'doc' AND impact = 'high') THEN greatest(s, 0.55::double) ELSE s END, 6) AS score FROM sc1),
   scored AS (SELECT *, CASE WHEN score >= 0.55 THEN 'hot' WHEN score >= 0.30 THEN 'warm' ELSE 'cold' END AS tier FROM sc2)"""
 _COST = r"""greatest(1, floor(coalesce(list_sum(list_transform(regexp_extract_all(line, '[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z0-9]') THEN ceil(length(r) / 3.0) ELSE 1 END)), 0) * 1.2))::bigint"""
