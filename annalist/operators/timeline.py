@@ -75,6 +75,8 @@ def transitions(seq: DataFrame, matched: list[str], aliases: DataFrame | None =
     done = g.notes.where("outcome IN ('superseded', 'again')").select(F.col("target").alias("eid"), "ts", F.col("event_id").alias("id"), F.lit(1).alias("phase"), F.lit("superseded").alias("status"), F.lit(False).alias("plan"), F.lit(0).alias("pos"))
     ops = said.unionByName(done).where(F.col("eid").isin(matched)).join(created, "eid")
     first = (F.struct("ts", "id") == F.col("born")) & (F.col("phase") == 0)
+    # Only what can move a status is put in order; mere mentions, the bulk of a busy entity, are not.
+    ops = ops.where((F.col("status") != "active") | F.col("plan") | first)
     w = Window.partitionBy("eid").orderBy("ts", "id", "phase", "pos")
     set_ = F.when((F.col("status") != "active") | first, F.col("status"))
     ops = ops.withColumn("before", F.last(set_, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))

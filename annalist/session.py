@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,30 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per session, as an archive in the shared folder.
+
+    Workers else find it only where it is installed or on their path.
+    """
+    if getattr(spark, "_annalist_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    p = os.path.join(folder, n)
+                    z.write(p, os.path.join("annalist", os.path.relpath(p, root)))
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'code')}/annalist_code.zip")
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
+    spark.sparkContext.addPyFile(target.toString())
+    spark._annalist_shipped = True
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.session import ship
+
 MAX_BYTES = 300_000
 SECRET = re.compile(r"(?i)(password|passwd|secret|token|api[_-]?key|credential|private[_-]?key)")
 KINDS = ("Deployment", "StatefulSet", "DaemonSet", "CronJob", "Service")
@@ -129,6 +131,7 @@ def snapshot(files: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = [r for repo, path, text in zip(b["repo"], b["path"], b["text"]) for r in _file(repo, path, text or "")]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
+    ship(files.sparkSession)
     wanted = files.select("repo", "path", "text").where(F.col("path").rlike(r"\.(ya?ml|json)$") & ~F.col("path").rlike(SKIP.pattern))
     d = wanted.mapInPandas(run, OUT)
     entities = d.where("what = 'entity'").groupBy("id").agg(F.min_by(F.struct("type", "name", "description"), F.struct("description", "name")).alias("r"), F.array_sort(F.collect_set(F.concat(F.lit("code@"), "repo"))).alias("source_events")).select("id", "r.*", "source_events")
