@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.mixing import source_key
+from annalist.session import ship
 
 #: The classifier is fitted on at most this many labelled documents, chosen by the hash of their id.
 TRAIN_DOCS = 12_000
@@ -323,6 +324,7 @@ def score(documents: DataFrame, model: Model, located: bool = False) -> DataFram
 
     Null and empty texts score 0.
     """
+    ship(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.threshold, model.watch))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.tokens import VOCAB, with_token_count
-from annalist.session import cut
+from annalist.session import cut, ship
 
 BLOCK = 2_000
 SEED = 20260101
@@ -82,6 +82,7 @@ def _fly(df: DataFrame, last: bool) -> DataFrame:
                 p[i] = x
         return pdf.assign(p=p)[["src", "doc_id", "n_tokens", "p"]]
 
+    ship(df.sparkSession)
     return df.groupBy("src", "block").applyInPandas(run, "src string, doc_id bigint, n_tokens bigint, p double")
 
 

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annalist.session import ship
+
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which byte-level BPE vocabularies of this family cut a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -31,6 +33,8 @@ def encoder(vocab: str):
 def with_token_count(df: DataFrame, text: str, out: str = "n_tokens", vocab: str = VOCAB) -> DataFrame:
     """Adds ``out``: tokens of the whole text; 0 for null and empty texts."""
 
+    ship(df.sparkSession)
+
     @F.pandas_udf("bigint")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         enc = encoder(vocab)
