@@ -18,9 +18,9 @@ from annalist.llm.tokens import VOCAB, with_token_count
 from annalist.session import cut
 
 #: Length buckets per capacity.
-BUCKETS = 96
+BUCKETS = 256
 #: Chunks in which the items of one bucket are numbered.
-RANK_CHUNKS = 512
+RANK_CHUNKS = 256
 
 
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
