@@ -4,8 +4,9 @@ Potentials: features of a token, keys of its two neighbours on either side, labe
 tokens of one text that are equal but for case.  Trained by the likelihood of the chains; decoded by loopy message passing between
 the chains and the groups of equal tokens, then the best path of each chain.
 
-Most tokens are far from any item.  They are told by the scores of their own features and neighbours (EXTENT and SEED),
-taken as O, and cut the chain; messages are passed only inside the islands between them.
+Nothing is cut by a fixed margin.  Messages are passed over whole texts, and every repeated word is in its group.  Only
+what the model itself rules out is left undecoded (``Model.reach``): a text in which no message could make any token an
+item, and tokens that cannot be items under the messages they got; these are O on the best path, so they split it.
 """
 
 from __future__ import annotations
@@ -25,9 +26,13 @@ BIG = np.float32(1e4)
 #: Most that the weight of a transition or of a skip edge may be.
 CLIP = 6.0
 ROUNDS = 2
-#: A token whose best other label lies below O by more than EXTENT (in log odds) is taken as O and cuts the chain; a run
-#: of the others counts only if one of them comes within SEED of an item.
-EXTENT, SEED = 3.0, 1.5
+#: Slack of the two proven cuts, for rounding: of tokens on the best path, and of whole texts.
+EXTENT = SEED = 1e-6
+#: Texts are labelled in blocks of about this many tokens, which bounds the memory of the messages.
+BLOCK = 1 << 17
+#: The kind of item of each label: a message gives the labels of one kind the same.
+KIND = np.array([0, 1, 2, 3, 4, 4, 5, 5])
+
 
 
 class Types:
@@ -99,45 +104,81 @@ class Model:
             u[edge] += w[1]
         return u
 
+    def reach(self, u: np.ndarray, doc: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The most by which each label of each token can beat O on any path through the token, without messages.
+
+        Replacing a label by O costs its score and changes two transitions.  Before the token every label may be followed
+        by O.  After it the next label stays, except that a label that goes on must become its beginning, which gets the
+        same messages and may be followed by the same labels.
+        """
+        free = ~FORBIDDEN
+        left = np.where(free, t - t[:, [O]], -np.inf).max(axis=0)
+        after = np.where(free & free[O], t - t[O], -np.inf).max(axis=1)
+        right = np.broadcast_to(after, u.shape).copy()
+        near = doc[:-1] == doc[1:]
+        for begin, inner in ((BP, IP), (BA, IA)):
+            on = np.where(free[inner] & free[begin], t[inner] - t[begin], -np.inf).max()
+            grow = np.where(near, u[1:, inner] - u[1:, begin], -np.inf) + on - t[O, begin]
+            for k in (begin, inner):
+                right[:-1, k] = np.maximum(right[:-1, k], t[k, inner] + grow)
+        return u - u[:, [O]] + left + right
+
     def label(self, types: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The best label of each token."""
         n = len(types)
         out = np.zeros(n, dtype=np.int8)
         if not n:
             return out
-        u = self.unary(types, doc)
-        margin = u[:, 1:].max(axis=1) - u[:, 0]
-        at = np.flatnonzero(margin > -EXTENT)
-        if not len(at):
+        ends = np.append(np.flatnonzero(np.diff(doc)) + 1, n)
+        at = 0
+        while at < n:
+            # Whole texts, at least one.
+            to = int(ends[max(np.searchsorted(ends, at + BLOCK, "right") - 1, np.searchsorted(ends, at, "right"))])
+            out[at:to] = self._label(types[at:to], doc[at:to])
+            at = to
+        return out
+
+    def _label(self, types: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(types), dtype=np.int8)
+        t = (self.trans - BIG * FORBIDDEN).astype(np.float64)
+        u = self.unary(types, doc).astype(np.float64)
+        reach = self.reach(u, doc, t)
+        # A message adds at most the skip weight to an item and never takes from it more than it gives O.
+        most = reach[:, 1:].max(axis=1) + np.where(self.same_of[types] >= 0, float(self.skip), 0.0)
+        live = np.isin(doc, doc[most > -SEED])
+        if not live.any():
             return out
+        kept = np.flatnonzero(live)
+        u, reach, types, doc = u[kept], reach[kept], types[kept], doc[kept]
+        message = np.zeros_like(u)
+        groups = self._groups(types, doc)
+        if groups is not None:
+            # Only texts that hold a group send or get messages.
+            at = np.flatnonzero(np.isin(doc, doc[groups[0]]))
+            base, first, length = self._chains(u, at, doc, t)
+            where = np.searchsorted(at, groups[0]), *groups[1:]
+            sent = np.zeros_like(base)
+            for _ in range(ROUNDS):
+                belief = self._marginals(base + sent, first, length, t) - sent
+                sent = self._skip(belief, *where)
+            message[at] = sent
+        at = np.flatnonzero((reach + message - message[:, [O]])[:, 1:].max(axis=1) > -EXTENT)
+        if len(at):
+            out[kept[at]] = self._best(*self._chains(u + message, at, doc, t), t)
+        return out
+
+    @staticmethod
+    def _chains(u: np.ndarray, at: np.ndarray, doc: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the tokens ``at`` and first place and length of each run of them within a text; a run lies between
+        tokens that are O (or the ends of its text, which count as O)."""
         new = np.ones(len(at), dtype=bool)
         new[1:] = (np.diff(at) != 1) | (np.diff(doc[at]) != 0)
         first = np.flatnonzero(new)
         length = np.diff(np.append(first, len(at)))
-        # An island without a token near an item is O throughout.
-        seeded = np.maximum.reduceat(margin[at], first) > -SEED
-        at = at[np.repeat(seeded, length)]
-        if not len(at):
-            return out
-        length = length[seeded]
-        first = np.concatenate([[0], np.cumsum(length)])[:-1]
-        t = self.trans - BIG * FORBIDDEN
-        # An island lies between tokens that are O (or the ends of its text, which count as O).
-        base = u[at].astype(np.float64)
-        enter, leave = t[O].astype(np.float64), t[:, O].astype(np.float64)
-        base[first] += enter
-        base[first + length - 1] += leave
-        groups = self._groups(types[at], doc[at])
-        message = np.zeros_like(base)
-        if groups is not None:
-            # Only islands that hold a member of a group send or get messages.
-            island = np.repeat(np.arange(len(first)), length)
-            busy = np.unique(island[groups[0]])
-            for _ in range(ROUNDS):
-                belief = self._marginals(base + message, first[busy], length[busy], t) - message
-                message = self._skip(belief, *groups)
-        out[at] = self._best(base + message, first, length, t)
-        return out
+        base = u[at]
+        base[first] += t[O]
+        base[first + length - 1] += t[:, O]
+        return base, first, length
 
     def _groups(self, types: np.ndarray, doc: np.ndarray):
         """Tokens that are equal but for case within a text, where there are two or more of them."""
@@ -162,47 +203,58 @@ class Model:
         total = np.stack([np.bincount(g, weights=kind[:, k]) for k in range(6)], axis=1)
         others = (total[g] - kind) / (size[g] - 1)[:, None]
         out = np.zeros_like(belief)
-        out[member] = float(self.skip) * others[:, [0, 1, 2, 3, 4, 4, 5, 5]]
+        out[member] = float(self.skip) * others[:, KIND]
         return out
 
     @staticmethod
-    def _by_length(first: np.ndarray, length: np.ndarray):
-        for n in np.unique(length):
-            rows = first[length == n]
-            yield int(n), rows[:, None] + np.arange(n)
+    def _by_step(first: np.ndarray, length: np.ndarray):
+        """Order of the tokens by their step in their chain, longer chains first, with the start of each step and the
+        number of chains that reach it: the chains of step i + 1 are the first ones of step i."""
+        order = np.argsort(-length, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        size = np.searchsorted(-length[order], -np.arange(length.max()), "left")
+        start = np.concatenate([[0], np.cumsum(size)])
+        step = np.arange(int(length.sum())) - np.repeat(first, length)
+        place = np.empty(len(step), dtype=np.int64)
+        place[start[step] + np.repeat(rank, length)] = np.arange(len(step))
+        return place, start[:-1].tolist(), size.tolist()
 
     def _marginals(self, s: np.ndarray, first: np.ndarray, length: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Log marginals (up to a constant per token) by normalised forward and backward messages along each island."""
-        e = np.exp(np.maximum(t, -60.0).astype(np.float64))
-        out = np.zeros_like(s)
-        for n, idx in self._by_length(first, length):
-            x = s[idx]
-            x = np.exp(x - x.max(axis=2, keepdims=True))
-            fwd, bwd = np.empty_like(x), np.ones_like(x)
-            fwd[:, 0] = x[:, 0]
-            for i in range(1, n):
-                f = (fwd[:, i - 1] @ e) * x[:, i]
-                fwd[:, i] = f / f.sum(axis=1, keepdims=True)
-            for i in range(n - 2, -1, -1):
-                b = (bwd[:, i + 1] * x[:, i + 1]) @ e.T
-                bwd[:, i] = b / b.sum(axis=1, keepdims=True)
-            out[idx] = np.log(fwd * bwd + 1e-300)
+        """Log marginals (up to a constant per token) by normalised forward and backward messages along each chain."""
+        e = np.exp(np.maximum(t, -60.0))
+        place, start, size = self._by_step(first, length)
+        x = s[place]
+        x = np.exp(x - x.max(axis=1, keepdims=True))
+        fwd, bwd = np.empty_like(x), np.ones_like(x)
+        fwd[: size[0]] = x[: size[0]]
+        for i in range(1, len(size)):
+            k, a, b = size[i], start[i - 1], start[i]
+            f = (fwd[a : a + k] @ e) * x[b : b + k]
+            fwd[b : b + k] = f / f.sum(axis=1, keepdims=True)
+        back = e.T.copy()
+        for i in range(len(size) - 1, 0, -1):
+            k, a, b = size[i], start[i - 1], start[i]
+            g = (bwd[b : b + k] * x[b : b + k]) @ back
+            bwd[a : a + k] = g / g.sum(axis=1, keepdims=True)
+        out = np.empty_like(s)
+        out[place] = np.log(fwd * bwd + 1e-300)
         return out
 
     def _best(self, s: np.ndarray, first: np.ndarray, length: np.ndarray, t: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(s), dtype=np.int8)
-        for n, idx in self._by_length(first, length):
-            x = s[idx]
-            score, back = x[:, 0], np.empty((len(idx), n, K), dtype=np.int8)
-            for i in range(1, n):
-                both = score[:, :, None] + t[None]
-                back[:, i] = both.argmax(axis=1)
-                score = both.max(axis=1) + x[:, i]
-            y = score.argmax(axis=1)
-            for i in range(n - 1, -1, -1):
-                out[idx[:, i]] = y
-                if i:
-                    y = back[np.arange(len(idx)), i, y]
+        place, start, size = self._by_step(first, length)
+        score, back = s[place], np.empty((len(s), K), dtype=np.int8)
+        for i in range(1, len(size)):
+            k, a, b = size[i], start[i - 1], start[i]
+            both = score[a : a + k, :, None] + t
+            back[b : b + k] = both.argmax(axis=1)
+            score[b : b + k] += both.max(axis=1)
+        y = score.argmax(axis=1).astype(np.int8)
+        for i in range(len(size) - 1, 0, -1):
+            k, a, b = size[i], start[i - 1], start[i]
+            y[a : a + k] = back[np.arange(b, b + k), y[b : b + k]]
+        out = np.empty(len(s), dtype=np.int8)
+        out[place] = y
         return out
 
 
@@ -298,14 +350,13 @@ def train(texts: list[str], labels: list[np.ndarray], given: frozenset[str], epo
         ok = (j >= 0) & (j < n)
         ok[ok] &= doc[j[ok]] == doc[np.flatnonzero(ok)]
         near[k][ok] = key[j[ok]]
-    kind_of = np.array([0, 1, 2, 3, 4, 4, 5, 5])
     others = np.zeros((n, 6))
     if (groups := m._groups(types, doc)) is not None:
         member, g, size = groups
-        one = np.eye(6)[kind_of[y[member]]]
+        one = np.eye(6)[KIND[y[member]]]
         total = np.stack([np.bincount(g, weights=one[:, k]) for k in range(6)], axis=1)
         others[member] = (total[g] - one) / (size[g] - 1)[:, None]
-    mates = others[:, kind_of]
+    mates = others[:, KIND]
     lengths = np.array([len(x) for x in labels])
     firsts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     w_own = np.zeros((len(own) + 1, K))

@@ -97,6 +97,43 @@ def test_message_passing_makes_equal_tokens_agree():
     assert (full != y).mean() < 1e-3
 
 
+def _fixed(u, trans, skip):
+    """A model whose scores are given instead of learned."""
+    m = crf.Model({}, {"<rare>": 0, "<edge>": 1}, frozenset()).prepare()
+    m.trans, m.skip = np.asarray(trans, dtype=np.float32), np.float32(skip)
+    m.w_key = np.zeros((4, 2, crf.K), dtype=np.float32)
+    m.unary = lambda types, doc: (m._grow(), u[: len(types)].astype(np.float32))[1]
+    return m
+
+
+def test_weak_later_mention_is_rescued_by_a_clear_one():
+    """More than 3 log odds below O by itself, and still an item by the message of its clear mention."""
+    tokens, doc, _ = crf.tokenize(["Falk said so . later falk left"])
+    u = np.zeros((len(tokens), crf.K))
+    u[:, 1:] = -20.0
+    u[0, BP], u[5, BP] = 12.0, -4.5
+    m = _fixed(u, np.zeros((crf.K, crf.K)), 6.0)
+    y = m.label(m.types.of(tokens), doc)
+    assert y.tolist() == [BP, 0, 0, 0, 0, BP, 0]
+
+
+def test_cuts_change_no_label():
+    rng = np.random.default_rng(5)
+    words = ["falk", "Falk", "rask", "mill", "lane", ".", "7"]
+    for _ in range(60):
+        texts = [" ".join(rng.choice(words, rng.integers(1, 25))) for _ in range(30)]
+        tokens, doc, _ = crf.tokenize(texts)
+        u = rng.normal(0, 3, (len(tokens), crf.K)) - np.array([0] + [rng.uniform(0, 12)] * (crf.K - 1))
+        m = _fixed(u, np.clip(rng.normal(0, 2.5, (crf.K, crf.K)), -crf.CLIP, crf.CLIP), rng.uniform(0, crf.CLIP))
+        types = m.types.of(tokens)
+        y = m.label(types, doc)
+        kept = crf.EXTENT, crf.SEED
+        crf.EXTENT = crf.SEED = 1e9
+        full = m.label(types, doc)
+        crf.EXTENT, crf.SEED = kept
+        assert (y == full).all()
+
+
 def test_exact_borders():
     t = "x (0049 30 23125 328) y"
     assert t[slice(*operator._exact(PHONE, t, 2, 21))] == "0049 30 23125 328"
