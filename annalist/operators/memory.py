@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.text import estimate_tokens, slugify
 from annalist.functions.timestamps import with_instant
+from annalist.operators.skew import join_unique
 
 # Fixed values of the score.
 WEIGHTS = {"recency": 0.4, "impact": 0.3, "domain": 0.2, "access": 0.1}
@@ -114,16 +115,33 @@ def citations(entities: DataFrame) -> DataFrame:
     return entities.where(F.size("source_events") > 0).select("id", F.posexplode(last).alias("nth", "event_id"))
 
 
-def legend(entities: DataFrame, log: DataFrame) -> DataFrame:
-    """Citations that two or more entities carry, numbered by the smallest entity that carries them."""
-    c = citations(entities).join(log.select(F.col("id").alias("event_id")), "event_id", "left_semi")
-    n = c.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")).where("n >= 2")
+def topology(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations between services and externals that are both among ``entities`` (one row per id)."""
+    d = relations.where(" AND ".join(f"({c} LIKE 'svc-%' OR {c} LIKE 'ext-%')" for c in ("source", "target")))
+    known = entities.where("id LIKE 'svc-%' OR id LIKE 'ext-%'").select("id")
+    for end in ("source", "target"):
+        d = join_unique(d, known.select(F.col("id").alias(end), F.lit(True).alias("known_")), end).where("known_").drop("known_")
+    return d
+
+
+def legend(entities: DataFrame, log: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+    """Citations that are carried twice or more by entities and, where ``relations`` are given, by those that connect
+    two services or externals among the entities.
+
+    Numbered by the smallest entity that carries them; those that only relations carry come after, by the smallest of
+    these.
+    """
+    c = citations(entities).select("event_id", F.lit(False).alias("rel"), F.col("id").alias("first"))
+    if relations is not None:
+        c = c.unionByName(topology(relations, entities).select(F.col("provenance").alias("event_id"), F.lit(True).alias("rel"), F.concat_ws(" ", "source", "predicate", "target").alias("first")))
+    n = c.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rel", "first")).alias("f")).where("n >= 2")
+    n = n.join(log.select(F.col("id").alias("event_id")), "event_id", "left_semi").select("event_id", "n", "f.*")
     # Numbered chunk by chunk of equal beginnings with carried totals, so that no task orders all citations.
-    n = n.withColumn("part", F.substring("first_id", 1, 8))
-    size = n.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
-    base = size.select("part", F.coalesce(F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    r = F.row_number().over(Window.partitionBy("part").orderBy("first_id", "event_id"))
-    return n.withColumn("r", r).join(base, "part").select("event_id", "n", (F.col("r") + F.col("before")).alias("tag"))
+    n = n.withColumn("part", F.substring("first", 1, 8))
+    size = n.groupBy("rel", "part").agg(F.count(F.lit(1)).alias("k"))
+    base = size.select("rel", "part", F.coalesce(F.sum("k").over(Window.orderBy("rel", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    r = F.row_number().over(Window.partitionBy("rel", "part").orderBy("first", "event_id"))
+    return n.withColumn("r", r).join(base, ["rel", "part"]).select("event_id", "n", (F.col("r") + F.col("before")).alias("tag"))
 
 
 def trimmed_facts(entities: DataFrame) -> DataFrame:

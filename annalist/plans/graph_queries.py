@@ -73,6 +73,11 @@ def m_legend(s, d):
     return memory.legend(_ent(s, d), store.event_log(table(s, d, "event_log")))
 
 
+def m_legend_topology(s, d):
+    """The whole legend: ``m_legend`` counts the citations of entities alone, as its SQL does."""
+    return memory.legend(_ent(s, d), store.event_log(table(s, d, "event_log")), _rel(s, d))
+
+
 def m_facts(s, d):
     return memory.trimmed_facts(_ent(s, d))
 
@@ -85,7 +90,7 @@ def m_goals(s, d):
     return _ent(s, d).where("type = 'goal'").select("id", "status", F.coalesce(F.nullif("description", F.lit("")), F.col("name")).alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (g_hubs, g_subgraph, g_held_back, g_alias_roots, g_profile_candidates, g_temporal_events, m_scores, m_domain_tiers, m_budget, m_legend, m_facts, m_index, m_goals)}
+QUERIES = {f.__name__: f for f in (g_hubs, g_subgraph, g_held_back, g_alias_roots, g_profile_candidates, g_temporal_events, m_scores, m_domain_tiers, m_budget, m_legend, m_legend_topology, m_facts, m_index, m_goals)}
 
 _C = ", ".join(f"'{c}'" for c in CENTERS)
 _HUBS = f"""WITH RECURSIVE {REL}, deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM rel UNION ALL SELECT target FROM rel) GROUP BY id),
@@ -132,6 +137,10 @@ SQL = {
       SELECT id, cost, kept FROM w WHERE rn > 0""",
     "m_legend": f"""WITH {ENT}, {LOG}, c AS (SELECT id, unnest(source_events[-2:]) AS event_id FROM ent WHERE len(source_events) > 0), n AS (SELECT event_id, count(*) AS n, min(id) AS first_id FROM c WHERE event_id IN (SELECT id FROM log) GROUP BY event_id HAVING count(*) >= 2)
       SELECT event_id, n, row_number() OVER (ORDER BY first_id, event_id) AS tag FROM n""",
+    "m_legend_topology": f"""WITH {ENT}, {LOG}, {REL}, e AS (SELECT id, unnest(source_events[-2:]) AS event_id FROM ent WHERE len(source_events) > 0), ends AS (SELECT id FROM ent WHERE regexp_matches(id, '^(svc|ext)-')),
+      c AS (SELECT event_id, false AS r, id AS f FROM e UNION ALL SELECT provenance, true, source || ' ' || predicate || ' ' || target FROM rel WHERE source IN (SELECT id FROM ends) AND target IN (SELECT id FROM ends)),
+      n AS (SELECT event_id, count(*) AS n, min(f) FILTER (NOT r) AS first_id, min(f) AS first_rel FROM c WHERE event_id IN (SELECT id FROM log) GROUP BY event_id HAVING count(*) >= 2)
+      SELECT event_id, n, row_number() OVER (ORDER BY first_id IS NULL, coalesce(first_id, first_rel), event_id) AS tag FROM n""",
     "m_facts": f"""WITH {ENT}, f AS (SELECT id, unnest(key_facts) AS fact, generate_subscripts(key_facts, 1) AS pos FROM ent), k AS (SELECT *, lower(trim(split_part(fact, ':', 1))) AS key FROM f WHERE fact IS NOT NULL),
       r AS (SELECT *, row_number() OVER (PARTITION BY id, key ORDER BY pos) AS nth, count(*) OVER (PARTITION BY id, key) AS n FROM k WHERE key NOT IN ('extensions', 'adapter')) SELECT id, key, nth, fact, greatest(n - 2, 0) AS more FROM r WHERE nth <= 2""",
     "m_index": f"WITH {_SCORED} SELECT id, '- [' || tier || '] ' || id || ' (' || type || ')' || CASE WHEN status = 'superseded' THEN ' (superseded)' ELSE '' END || ': ' || coalesce(nullif(description, ''), name) AS line FROM scored",

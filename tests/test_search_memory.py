@@ -103,3 +103,13 @@ def test_facts_are_trimmed_per_key(spark):
     d = spark.createDataFrame([("a", ["released: 1", "Released: 2", "released: 3", "extensions: md", "plain", None])], "id string, key_facts array<string>")
     got = {(r["key"], r["nth"], r["more"]) for r in memory.trimmed_facts(d).collect()}
     assert got == {("released", 1, 1), ("released", 2, 1), ("plain", 1, 0)}
+
+
+def test_legend_counts_the_topology(spark):
+    e = spark.createDataFrame([("svc-b", ["e0", "e1", "e2"]), ("svc-a", ["e3"]), ("ext-c", ["e3"]), ("mod-d", None)], "id string, source_events array<string>")
+    log = spark.createDataFrame([(f"e{i}",) for i in range(8)], "id string")
+    # Ends that are no service or external or no known entity, and events that the log lacks, do not count.
+    rel = [("svc-a", "uses", "svc-b", "e1"), ("svc-a", "uses", "ext-c", "e5"), ("svc-b", "uses", "ext-c", "e5"), ("svc-b", "owns", "svc-a", "e0"), ("svc-a", "has", "mod-d", "e2"), ("svc-a", "uses", "svc-z", "e2")] + [("svc-b", p, "svc-a", "gone") for p in "xy"]
+    r = spark.createDataFrame(rel, "source string, predicate string, target string, provenance string")
+    assert {tuple(x) for x in memory.legend(e, log, r).collect()} == {("e3", 2, 1), ("e1", 2, 2), ("e5", 2, 3)}
+    assert {tuple(x) for x in memory.legend(e, log).collect()} == {("e3", 2, 1)}
