@@ -17,8 +17,6 @@ from annalist.session import ship
 #: The model is fitted on at most this many texts, chosen by the hash of their row.
 TRAIN_TEXTS = 5_000
 TRAIN_AUTHORS = 2_500
-#: Given names are gathered from at most this many authors.
-NAME_AUTHORS = 40_000
 BATCH = 2_000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
@@ -36,14 +34,32 @@ def _sample(df: DataFrame, text: str, n: int) -> list[str]:
     return [r["t"] for r in d.orderBy("h", "t").limit(n).collect()]
 
 
+def given_names(commits: DataFrame) -> frozenset[str]:
+    """Given names of the authors of all commits, each met twice or more.
+
+    Authors are counted batch by batch where they are read; only the names that pass reach the driver.
+    """
+    ship(commits.sparkSession)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            n = pdf["author"].value_counts()
+            d = pd.DataFrame({"name": [weak.given_name(a) for a in n.index], "n": n.to_numpy(dtype=np.int64)})
+            yield d.dropna().groupby("name", as_index=False)["n"].sum()
+
+    d = commits.where("author IS NOT NULL").select("author").mapInPandas(run, "name string, n bigint")
+    return frozenset(r["name"] for r in d.groupBy("name").agg(F.sum("n").alias("n")).where("n >= 2").select("name").collect())
+
+
 def fit(events: DataFrame, commits: DataFrame) -> crf.Model | None:
-    """The field model, fitted on a bounded sample with labels from the rules; None where there is no text at all."""
-    authors = _sample(commits, "author", NAME_AUTHORS)
+    """The field model, fitted on a bounded sample with labels from the rules and the given names of all authors; None
+    where there is no text at all."""
+    authors = _sample(commits, "author", TRAIN_AUTHORS)
     bodies = _sample(events.select("row_id", F.concat_ws("\n", "body", "summary").alias("t")), "t", TRAIN_TEXTS)
-    chosen = [t for t in bodies + authors[:TRAIN_AUTHORS] if t]
+    chosen = [t for t in bodies + authors if t]
     if not chosen:
         return None
-    given = weak.given_names(authors, [])
+    given = given_names(commits)
     return crf.train(chosen, [weak.label(t, given) for t in chosen], given)
 
 

@@ -27,13 +27,18 @@ def plain(x: str) -> str:
     return x.lower().translate(_PLAIN)
 
 
+def given_name(author: str) -> str | None:
+    """The first word of an author whose address spells that word."""
+    m = _NAME.match(author)
+    return m[1].lower() if m and plain(m[1]) in re.split(r"[^a-z]+", plain(m[4])) else None
+
+
 def given_names(authors: list[str], people: list[str]) -> frozenset[str]:
     """Given names: first words of entity names of persons, and of authors whose address spells that word."""
     seen: Counter[str] = Counter()
     for a in authors:
-        m = _NAME.match(a)
-        if m and plain(m[1]) in re.split(r"[^a-z]+", plain(m[4])):
-            seen[m[1].lower()] += 1
+        if w := given_name(a):
+            seen[w] += 1
     for p in people:
         w = p.split()
         if len(w) >= 2 and re.fullmatch(r"[^\W\d_]{2,}", w[0]):

@@ -68,6 +68,16 @@ def test_empty_tables(spark):
     assert operator.redacted(frame(spark, "event_log", []), frame(spark, "commits", [])).collect() == []
 
 
+def test_rare_given_names_are_not_crowded_out(spark):
+    """Names met twice count however many rows another author has."""
+    names = ["zelda", "odo", "runa", "ivo", "tove", "nils", "fenna", "caspar", "wiebke", "egon"]
+    com = [{"sha": str(i), "author": "build-bot <noreply@ci.example>"} for i in range(60_000)]
+    com += [{"sha": f"{n}{i}", "author": f"{n.title()} Kestlund <{n}.kestlund@mail.example>"} for n in names for i in range(2)]
+    com += [{"sha": "x", "author": "Once Only <once.only@mail.example>"}, {"sha": "y", "author": None}, {"sha": "z", "author": ""}]
+    m = operator.fit(frame(spark, "event_log", []), frame(spark, "commits", com))
+    assert m.given == set(names)
+
+
 def test_tokens_tile_the_text():
     for x in ["", " a  b\n", "naïve O'Neil’s +49 30 1 x@y.example (at) z", "a.b." * 500, "9" * 3000, "x [at] y [dot] z", "­​ é"]:
         tokens, doc, start = crf.tokenize([x, x])
