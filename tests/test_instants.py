@@ -71,6 +71,19 @@ def test_zone_table_agrees_with_zoneinfo():
             assert off == ZoneInfo(z).utcoffset(local).total_seconds(), (z, local)
 
 
+def test_years_behind_the_zone_table_follow_the_rule(spark):
+    import datetime as dt
+    from zoneinfo import ZoneInfo
+
+    rng = random.Random(2)
+    local = [dt.datetime(y, m, d, rng.randint(0, 23), rng.randint(0, 59)) for y in (2037, 2038, 2040, 2065, 2066, 2100, 2101, 2399, 2400, 9000) for m in (1, 3, 4, 7, 10, 11) for d in (1, 15, 26, 30)]
+    d = spark.createDataFrame([(z, x.isoformat()) for z in ("Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Asia/Kolkata", "America/Sao_Paulo") for x in local], "z string, ts string")
+    for r in T.with_instant(d, "ts", F.col("z")).collect():
+        x = dt.datetime.fromisoformat(r["ts"])
+        want = x - ZoneInfo(r["z"]).utcoffset(x)
+        assert r["instant_us"] == (want - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1), (r["z"], r["ts"])
+
+
 def test_masks_have_one_parser_each(spark):
     masks = T.parsers()["p_mask"].to_pylist()
     assert len(masks) == len(set(masks)) < 10_000
