@@ -109,11 +109,14 @@ def balanced(docs: DataFrame) -> DataFrame:
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, vocab: str = VOCAB) -> DataFrame:
+def mix(documents: DataFrame, targets: DataFrame, vocab: str = VOCAB, total: int | None = None) -> DataFrame:
     """Documents of the mix: ``doc_id``, ``source``, ``n_tokens``, ``n_copies`` (at least 1).
 
     Documents without a source, or of a source without a target, are not used; sources with a target but without
     tokens cannot contribute, and the shares of the others are scaled to sum to 1.  Empty tables give no rows.
+
+    One small source bounds the whole mix.  With ``total`` the mix aims at so many tokens instead: a source whose cap
+    does not reach its share of them gives all it may and falls short, and the others keep to their shares of ``total``.
     """
     d = documents.select("doc_id", "text", source_key(F.col("source")).alias("src"))
     # A short configuration table; of repeated sources the largest values count.
@@ -127,7 +130,7 @@ def mix(documents: DataFrame, targets: DataFrame, vocab: str = VOCAB) -> DataFra
     if not have:
         return empty
     whole = sum(goal[s][0] for s in have)
-    size = min(goal[s][1] * t / (goal[s][0] / whole) for s, t in have.items())
+    size = total if total is not None else min(goal[s][1] * t / (goal[s][0] / whole) for s, t in have.items())
     rate = {s: min(float(goal[s][1]), goal[s][0] / whole * size / t) for s, t in have.items()}
     sure = {s: int(r + _EPS) for s, r in rate.items()}
     pick = lambda m: F.coalesce(*[F.when(F.col("src") == s, F.lit(v)) for s, v in m.items()])
@@ -138,11 +141,20 @@ def mix(documents: DataFrame, targets: DataFrame, vocab: str = VOCAB) -> DataFra
     return d.select("doc_id", F.col("src").alias("source"), "n_tokens", "n_copies")
 
 
-def report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per target source: its share, the share reached, documents, uses, tokens and the most uses of a document."""
+def report(mixed: DataFrame, targets: DataFrame, documents: DataFrame | None = None, vocab: str = VOCAB) -> DataFrame:
+    """Per target source: its share, the share reached, documents, uses, tokens and the most uses of a document.
+
+    With ``documents`` also the tokens that the source has there and the size of the mix against all documents.
+    """
     n = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_copies").alias("n_uses"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("n_tokens"), F.max("n_copies").alias("most_uses"))
     total = n.agg(F.sum("n_tokens").alias("all_tokens"))
     t = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     zero = lambda c: F.coalesce(c, F.lit(0))
     d = t.join(n, "source", "left").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one", "left")
-    return d.select("source", "target_share", "max_repeats", F.round(zero("n_tokens") / F.col("all_tokens"), 6).alias("actual_share"), zero("n_docs").alias("n_docs"), zero("n_uses").alias("n_uses"), zero("n_tokens").alias("n_tokens"), zero("most_uses").alias("most_uses"))
+    out = [F.col("source"), F.col("target_share"), F.col("max_repeats"), F.round(zero("n_tokens") / F.col("all_tokens"), 6).alias("actual_share"), zero("n_docs").alias("n_docs"), zero("n_uses").alias("n_uses"), zero("n_tokens").alias("n_tokens"), zero("most_uses").alias("most_uses")]
+    if documents is not None:
+        have = with_token_count(documents.select("text", source_key(F.col("source")).alias("source")), "text", "k", vocab).groupBy("source").agg(F.sum("k").alias("source_tokens"))
+        have = cut(have, "have")  # one row per source
+        d = d.join(have, "source", "left").join(have.agg(F.sum("source_tokens").alias("corpus_tokens")).withColumn("one", F.lit(1)), "one", "left")
+        out += [zero("source_tokens").alias("source_tokens"), F.round(F.col("all_tokens") / F.col("corpus_tokens"), 6).alias("mix_to_corpus")]
+    return d.select(*out)

@@ -40,7 +40,7 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.report(p9_mix(spark, d), table(spark, d, "source_targets"))
+    return mixing.report(p9_mix(spark, d), table(spark, d, "source_targets"), table(spark, d, "documents"))
 
 
 def _abuse(spark: SparkSession, d: str) -> tuple[DataFrame, abuse.Model]:

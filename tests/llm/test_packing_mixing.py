@@ -93,6 +93,16 @@ def test_shares_and_caps(spark, monkeypatch, block):
     assert len({x["doc_id"] for x in got}) == len(got) and {(x["doc_id"], x["n_copies"]) for x in got} == {(x["doc_id"], x["n_copies"]) for x in mixing.mix(frame(spark, "documents", docs), frame(spark, "source_targets", goal)).collect()}
 
 
+def test_a_stated_size_is_not_bounded_by_a_small_source(spark):
+    docs = [{"doc_id": i, "text": "alpha beta gamma delta " * 5, "source": "big" if i else "tiny"} for i in range(400)]
+    d, t = frame(spark, "documents", docs), frame(spark, "source_targets", [{"source": "big", "target_share": 0.5, "max_repeats": 1}, {"source": "tiny", "target_share": 0.5, "max_repeats": 2}])
+    small = {x["source"]: x for x in mixing.report(mixing.mix(d, t), t, d).collect()}
+    each = small["tiny"]["source_tokens"]
+    assert small["big"]["n_tokens"] == small["tiny"]["n_tokens"] == 2 * each and small["big"]["source_tokens"] == 399 * each and small["big"]["mix_to_corpus"] == 0.01
+    wide = {x["source"]: x for x in mixing.report(mixing.mix(d, t, total=200 * each), t, d).collect()}
+    assert wide["big"]["n_tokens"] == 100 * each and wide["tiny"]["n_tokens"] == 2 * each and wide["tiny"]["actual_share"] == round(2 / 102, 6)
+
+
 def test_mix_empty(spark):
     none = frame(spark, "source_targets", [])
     assert mixing.mix(frame(spark, "documents", []), frame(spark, "source_targets", [{"source": "a", "target_share": 1.0, "max_repeats": 1}])).collect() == []
