@@ -51,10 +51,35 @@ def citations(answers: DataFrame, key: str, text: str) -> DataFrame:
     return url.unionByName(paths).unionByName(ids).unionByName(shas).distinct()
 
 
+def shortened(paths: DataFrame, files: DataFrame) -> DataFrame:
+    """``path``, ``real``: the one file that each cited path stands for where no file has that very path.
+
+    A path stands for the only file that ends with it; where none does, for the only one that ends with segments of
+    which its own are beginnings, the last one being equal.  Paths that fit several files stand for none.
+    """
+    known = files.select(F.col("path").alias("real")).where("real IS NOT NULL").distinct()
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    p = paths.select("path").where("path IS NOT NULL").distinct().join(known.withColumnRenamed("real", "path"), "path", "left_anti").withColumn("name", name(F.col("path")))
+    # Only files whose name is cited have their tails listed.
+    near = known.withColumn("name", name(F.col("real"))).join(p.select("name").distinct(), "name", "left_semi")
+    parts = F.split("real", "/")
+    tails = near.withColumn("k", F.explode(F.sequence(F.lit(1), F.size(parts)))).select("real", "name", "k", F.slice(parts, -F.col("k"), F.col("k")).alias("tail"))
+    only = lambda d: d.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("real").alias("real"))
+    ends = only(p.join(tails.select("real", F.array_join("tail", "/").alias("path")), "path"))
+    rest = p.join(ends, "path", "left_anti").select("path", "name", F.split("path", "/").alias("segments"))
+    rest = rest.select("path", "name", "segments", F.size("segments").alias("k"), F.element_at("segments", 1).alias("begin"))
+    begun = tails.where("k > 1").withColumn("n", F.explode(F.sequence(F.lit(1), F.length(F.element_at("tail", 1))))).select("real", "name", "k", "tail", F.element_at("tail", 1).substr(F.lit(1), F.col("n")).alias("begin"))
+    loose = only(rest.join(begun, ["name", "k", "begin"]).where(F.forall(F.arrays_zip("segments", "tail"), lambda x: F.startswith(x["tail"], x["segments"]))))
+    return ends.unionByName(loose).where("n = 1").select("path", "real")
+
+
 def resolved(cites: DataFrame, files: DataFrame, shas: DataFrame, ids: DataFrame) -> DataFrame:
-    """Adds ``resolved``: files (``path``, ``n_lines``, null where unknown) must exist and be long enough, shas be the
-    beginning of a known one, graph ids be known or begin exactly one known id."""
+    """Adds ``resolved``: files (``path``, ``n_lines``, null where unknown) must exist, if need be under a path that the
+    cited one shortens, and be long enough, shas be the beginning of a known one, graph ids be known or begin exactly
+    one known id."""
     f = files.groupBy("path").agg(F.max("n_lines").alias("n_lines"), F.max(F.lit(True)).alias("there"))
+    short = shortened(cites.where(F.col("kind").isin("path", "file_line")), f)
+    f = f.unionByName(short.join(f.withColumnRenamed("path", "real"), "real").select("path", "n_lines", "there"))
     d = cites.join(f, "path", "left")
     by_file = F.coalesce("there", F.lit(False)) & F.coalesce((F.col("last_line") <= F.col("n_lines")) | F.col("last_line").isNull() | F.col("n_lines").isNull(), F.lit(True))
     # Prefixes meet by their first eight characters, then are compared in full.

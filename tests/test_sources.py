@@ -214,3 +214,16 @@ def test_knowledge_base(spark, tmp_path):
     assert kb.seed_anchors().count() == kb.seed_anchors().count() >= 1
     kb.pack()
     assert kb.log().count() == 2
+
+
+def test_shortened_paths_resolve_where_they_fit_one_file(spark):
+    files = spark.createDataFrame([("keps/sig-node/5573-remove-cgroup-v1/kep.yaml", 40), ("keps/sig-node/5573-other/kep.yaml", 10), ("src/backend/postmaster/autovacuum.c", 90), ("a/x/util.py", 5), ("b/x/util.py", 5), ("src/top.c", 9)], "path string, n_lines bigint")
+    want = {
+        "postmaster/autovacuum.c": True, "postmaster/autovacuum.c:90": True, "postmaster/autovacuum.c:91": False, "src/top.c": True,
+        "5573-rem/kep.yaml": True, "5573/kep.yaml": False, "sig/5573-o/kep.yaml": True, "x/util.py": False, "a/x/util.py": True, "master/autovacuum.c": False, "back/post/autovacuum.c": True, "back/post/autovac.c": False,
+    }
+    answers = spark.createDataFrame([(k, f"see {k} there") for k in want], "id string, text string")
+    none = spark.createDataFrame([], "id string, sha string")
+    got = evalkit.resolved(evalkit.citations(answers, "id", "text"), files, none, none)
+    rows = [(r["id"], r["resolved"]) for r in got.collect()]
+    assert len(rows) == len(want) and dict(rows) == want
