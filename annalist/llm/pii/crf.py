@@ -1,8 +1,8 @@
 """Skip-chain conditional random field over token labels.
 
 Potentials: features of a token, keys of its two neighbours on either side, label transitions, and skip edges between
-tokens of one text that are equal but for case.  Trained by the likelihood of the chains; decoded by loopy message passing between
-the chains and the groups of equal tokens, then the best path of each chain.
+tokens of one text that are equal in their normal form.  Trained by the likelihood of the chains; decoded by loopy message passing between
+the chains and the groups of similar tokens, then the best path of each chain.
 
 Nothing is cut by a fixed margin.  Messages are passed over whole texts, and every repeated word is in its group.  Only
 what the model itself rules out is left undecoded (``Model.reach``): a text in which no message could make any token an
@@ -11,9 +11,12 @@ item, and tokens that cannot be items under the messages they got; these are O o
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 
-from annalist.llm.pii.tokens import BA, BP, IA, IP, LABELS, TOKEN, O, features
+from annalist.llm.pii.tokens import BA, BP, IA, IP, LABELS, TOKEN, O, features, normal_address
 
 K = len(LABELS)
 OFFSETS = (-2, -1, 1, 2)
@@ -26,6 +29,8 @@ BIG = np.float32(1e4)
 #: Most that the weight of a transition or of a skip edge may be.
 CLIP = 6.0
 ROUNDS = 2
+#: Numbers of at least so many digits may be those of a person; shorter ones are in no group.
+GROUP_DIGITS = 6
 #: Slack of the two proven cuts, for rounding: of tokens on the best path, and of whole texts.
 EXTENT = SEED = 1e-6
 #: Texts are labelled in blocks of about this many tokens, which bounds the memory of the messages.
@@ -35,6 +40,17 @@ KIND = np.array([0, 1, 2, 3, 4, 4, 5, 5])
 
 
 
+def normal(t: str) -> str:
+    """What similar tokens share, empty for those that are in no group: addresses as local part and host however they
+    are spelt, words without case, accents, possessives and separators, and the digits and letters of long numbers."""
+    t = t.strip()
+    if address := normal_address(t):
+        return address
+    low = re.sub(r"['’]s$", "", t.lower())
+    low = "".join(c for c in unicodedata.normalize("NFKD", low) if c.isalnum())
+    return low if (low[:1].isalpha() and len(low) > 2) or sum(c.isdigit() for c in low) >= GROUP_DIGITS else ""
+
+
 class Types:
     """Distinct tokens met so far, with their features; a cache that a worker keeps while it runs."""
 
@@ -60,9 +76,8 @@ class Types:
         f, key = features(t, self.given)
         self.rows.append([self.own[x] for x in f if x in self.own])
         self.key.append(self.keys.get(key, 0))
-        low = t.strip().lower()
-        word = low[:1].isalpha() and len(low) > 2
-        self.same.append(self.low.setdefault(low, len(self.low)) if word else -1)
+        low = normal(t)
+        self.same.append(self.low.setdefault(low, len(self.low)) if low else -1)
         return len(self.rows) - 1
 
 
@@ -181,7 +196,7 @@ class Model:
         return base, first, length
 
     def _groups(self, types: np.ndarray, doc: np.ndarray):
-        """Tokens that are equal but for case within a text, where there are two or more of them."""
+        """Tokens of one normal form within a text, where there are two or more of them."""
         same = self.same_of[types]
         code = np.where(same >= 0, doc * (len(self.types.low) + 1) + same, -1 - np.arange(len(types)))
         _, inverse, count = np.unique(code, return_inverse=True, return_counts=True)

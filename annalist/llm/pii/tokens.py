@@ -62,6 +62,12 @@ def email_parts(t: str) -> tuple[str, str] | None:
     return (m[1], m[2]) if m else None
 
 
+def normal_address(t: str) -> str:
+    """The address in lower case with plain signs, empty where ``t`` is none."""
+    p = email_parts(t)
+    return f"{p[0]}@{re.sub(_DOT, '.', p[1])}".lower() if p else ""
+
+
 def shared_mailbox(t: str) -> bool:
     """Whether the words of an address name a team, a list or a tool instead of a person."""
     p = email_parts(t)

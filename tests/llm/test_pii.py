@@ -144,6 +144,17 @@ def test_cuts_change_no_label():
         assert (y == full).all()
 
 
+def test_similar_tokens_are_in_one_group():
+    pairs = [("José", "Jose"), ("O'Harwick", "O’Harwick"), ("Dunelli-Rask", "dunellirask"), ("(617) 555-0106", "617.555.0106"), ("a.b@mail.example", "a.b [at] mail [dot] example")]
+    tokens, doc, _ = crf.tokenize([" ; ".join([x for p in pairs for x in p] + ["12", "12", "is"])])
+    m = _fixed(np.zeros((len(tokens), crf.K)), np.zeros((crf.K, crf.K)), 1.0)
+    types = m.types.of(tokens)
+    m._grow()
+    same = {t.strip(): int(k) for t, k in zip(tokens, m.same_of[types])}
+    assert all(same[a] == same[b] >= 0 for a, b in pairs) and len({same[a] for a, _ in pairs}) == 5
+    assert same["12"] == same["is"] == same[";"] == -1
+
+
 def test_exact_borders():
     t = "x (0049 30 23125 328) y"
     assert t[slice(*operator._exact(PHONE, t, 2, 21))] == "0049 30 23125 328"
