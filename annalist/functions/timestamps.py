@@ -200,11 +200,12 @@ def _resolve(d: DataFrame, zone: Column | None) -> DataFrame:
     january = lambda y: f"(365 * ({y} - 1) + ({y} - 1) div 4 - ({y} - 1) div 100 + ({y} - 1) div 400)"
     same = {zones.kind(y): y for y in range(zones.LAST_YEAR - 27, zones.LAST_YEAR + 1)}
     like = f"element_at(array({', '.join(f'{same[k]}L' for k in range(14))}), cast(7 * ({january('(t_year + 1)')} - {january('t_year')} - 365) + {january('t_year')} % 7 + 1 AS int))"
-    d = d.withColumn("zone_year", F.when(F.col("zone_key").isNotNull(), F.expr(f"CASE WHEN t_year > {zones.LAST_YEAR} THEN {like} ELSE greatest({zones.FIRST_YEAR}L, t_year) END")))
+    names, changes, width, since = zones.zone_tables(d.sparkSession)
+    # Both tables have a size fixed by the zone database: about 600 names and 100,000 rows of changes.
+    d = d.join(F.broadcast(names), "zone_key", "left")
+    d = d.withColumn("zone_year", F.when(F.col("zone_number").isNotNull(), F.expr(f"CASE WHEN t_year > {zones.LAST_YEAR} THEN {like} ELSE greatest({since}L, t_year) END")))
     d = d.withColumn("zone_moved", F.expr(f"CASE WHEN t_year > {zones.LAST_YEAR} THEN {january('t_year')} - {january('zone_year')} ELSE 0L END"))
-    table, width = zones.zone_table(d.sparkSession)
-    # One row per zone and year of the zone database: a fixed size of about 57,000 rows.
-    d = d.join(F.broadcast(table), ["zone_key", "zone_year"], "left")
+    d = d.withColumn("zone_slot", F.expr("zone_number * 10000 + zone_year")).join(F.broadcast(changes), "zone_slot", "left")
     local = "(t_local div 1000000 - CASE WHEN t_local % 1000000 < 0 THEN 1 ELSE 0 END - zone_moved * 86400)"
     found = "CASE " + " ".join(f"WHEN {local} >= zone_t{k} THEN zone_o{k}" for k in range(width, 0, -1)) + " ELSE zone_o0 END"
     d = d.withColumn("t_shift", F.expr(f"CASE WHEN t_offset IS NOT NULL THEN t_offset WHEN zone_key IS NULL THEN 0L ELSE {found} END"))
