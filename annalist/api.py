@@ -18,10 +18,9 @@ class KnowledgeBase:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except Exception:  # not written yet
-            return self.spark.createDataFrame([], schema)
+        """A stored table, empty where it was never written; a table that is there but cannot be read is an error."""
+        path = f"{self.path}/{name}"
+        return self.spark.read.parquet(path) if store.exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def _put(self, name: str, df: DataFrame) -> None:
         """Replace a table through a copy, so that it may be computed from itself."""
@@ -72,10 +71,9 @@ class KnowledgeBase:
 
     # -- reading ------------------------------------------------------------------------------------------------
     def log(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/log")
-        except Exception:  # no event yet
-            return None
+        """The log, None where no event was stored yet."""
+        path = f"{self.path}/log"
+        return self.spark.read.parquet(path) if store.exists(self.spark, path) else None
 
     def aliases(self) -> DataFrame:
         return self._table("aliases", "alias string, canonical string")

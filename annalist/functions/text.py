@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+import re
+
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from annalist.session import ship
+
 # Words that carry no meaning in a query.
 STOPWORDS = ("the", "a", "an", "is", "are", "was", "were", "why", "what", "when", "who", "how", "does", "do", "did", "in", "on", "at", "of", "for", "to", "it", "this", "that", "we", "our", "and", "or", "with")
 # What is replaced before an event is stored, in this order.
@@ -114,7 +120,30 @@ def calendar_date(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_timestamp(c, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
 
 
-def extract_json(c: Column) -> Column:
-    """The first JSON object or array in a text, also inside a code fence; null if there is none that parses."""
-    found = F.regexp_extract(c, r"(?s)([\[{].*[\]}])", 1)
-    return F.when(F.try_parse_json(found).isNotNull(), found)
+_FENCE = re.compile(r"```(?:json)?\s*([\[{].*?[\]}])\s*```", re.DOTALL)
+
+
+def json_in(text: str | None, opening: str = "[{") -> str | None:
+    """The JSON value in a code fence, else the one that begins at the first opening bracket, as it stands; None if it
+    does not parse.  What follows the value does not matter."""
+    t = text or ""
+    fenced = next((m[1] for m in _FENCE.finditer(t) if m[1][0] in opening), None)
+    at = 0 if fenced is not None else min((i for b in opening if (i := t.find(b)) >= 0), default=-1)
+    body = fenced if fenced is not None else t[at:] if at >= 0 else ""
+    try:
+        end = json.JSONDecoder().raw_decode(body)[1] if body else 0
+    except (ValueError, RecursionError):
+        return None
+    return body[:end] if end and (fenced is None or not body[end:].strip()) else None
+
+
+def extract_json(c: Column, opening: str = "[{") -> Column:
+    """``json_in`` of a text column; ``opening="{"`` takes objects only.  Null texts give null."""
+
+    ship(SparkSession.getActiveSession())
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return pd.Series([json_in(x, opening) for x in s], dtype=object)
+
+    return run(c)

@@ -39,7 +39,8 @@ def seed(entities: DataFrame, nodes: DataFrame) -> DataFrame:
     inside = parts.join(services, "gram").where(F.contains(F.lower("node"), F.col("token")))
     foreign = inside.where(F.col("entity") != F.concat(F.lit("svc-"), slugify(F.col("repo"))))
     witness = foreign.groupBy("entity", "repo").agg(F.min("node").alias("node")).withColumn("kind", F.lit("xrepo"))
-    return own.unionByName(equal).unionByName(witness.select("entity", "repo", "node", "kind")).dropDuplicates(["entity", "repo", "node"])
+    # Of several kinds of link between an entity and a node the seed counts.
+    return own.unionByName(equal).unionByName(witness.select("entity", "repo", "node", "kind")).groupBy("entity", "repo", "node").agg(F.min("kind").alias("kind"))
 
 
 def cross_repo_edges(anchors: DataFrame, entities: DataFrame) -> DataFrame:

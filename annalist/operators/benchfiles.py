@@ -17,7 +17,7 @@ def questions(files: DataFrame) -> DataFrame:
     ``qid``, ``title``, ``prompt`` (the first run of quoted lines), ``gold``, ``trap`` (bold-marked fields), ``required`` and ``forbidden``
     (items of the lists below those words), ``abstain``, ``usable`` (it has a prompt and a gold answer).
     """
-    block = F.explode(F.slice(F.split(F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))), r"\n(?=## )"), 2, 10_000))
+    block = F.explode(F.filter(F.split(F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))), r"\n(?=## )"), lambda _, i: i > 0))
     d = files.select("path", block.alias("b")).withColumn("head", F.regexp_extract("b", r"^## +([A-Za-z]+\d+)", 1)).where("head <> ''")
     quoted = F.regexp_extract("b", r"(?m)((?:^>.*\n?)+)", 1)
     prompt = F.btrim(F.regexp_replace(quoted, r"(?m)^>[ ]?", ""), F.lit(" \n"))

@@ -98,7 +98,19 @@ def redacted(events: DataFrame) -> DataFrame:
 
 def new_events(batch: DataFrame, log: DataFrame) -> DataFrame:
     """The events of a batch whose ids the log lacks, one per id."""
-    return batch.join(log.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    return one_per_id(batch.join(log.select("id"), "id", "left_anti"))
+
+
+def one_per_id(batch: DataFrame) -> DataFrame:
+    """The last row of each id by (``seen_at``, ``row_id``), as far as the batch has these, then by all its text."""
+    order = [F.col(c) for c in ("seen_at", "row_id") if c in batch.columns]
+    return _latest(batch, "id", [*order, F.xxhash64(*[c for c in batch.columns])]).select(*batch.columns)
+
+
+def exists(spark, path: str) -> bool:
+    """Whether there is a table at ``path``; errors other than its absence are raised."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def append(batch: DataFrame, path: str) -> None:
@@ -108,14 +120,13 @@ def append(batch: DataFrame, path: str) -> None:
     """
     spark = batch.sparkSession
     new = redacted(batch).withColumn("month", month_of())
-    try:
-        old = spark.read.parquet(path)
-    except Exception:  # the first batch
-        new.dropDuplicates(["id"]).repartition("month").sortWithinPartitions("month", "ts", "id").write.partitionBy("month").parquet(path)
+    if not exists(spark, path):  # the first batch
+        one_per_id(new).repartition("month").sortWithinPartitions("month", "ts", "id").write.partitionBy("month").parquet(path)
         return
+    old = spark.read.parquet(path)
     from annalist.session import cut
 
-    new = cut(new.dropDuplicates(["id"]), "batch")
+    new = cut(one_per_id(new), "batch")
     hit = old.join(new.select("id"), "id", "left_semi").select("month").unionByName(new.select("month")).distinct()
     kept = old.join(hit, "month", "left_semi").join(new.select("id"), "id", "left_anti")
     merged = cut(kept.unionByName(new, allowMissingColumns=True), "merged")

@@ -20,13 +20,15 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    On a cluster it is ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary
-    folder of this machine is chosen and remembered for the session.
+    It is ``spark.checkpoint.dir``; only where that is unset and Spark runs on this machine alone (tests) a temporary
+    folder is chosen and remembered for the session.  On a cluster a missing setting is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
         conf = getattr(spark, "_annalist_scratch", None)
         if not conf:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             conf = tempfile.mkdtemp(prefix="annalist-")
             spark._annalist_scratch = conf
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
