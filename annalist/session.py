@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
@@ -61,32 +62,49 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path in the folder of this application under the shared folder; the folder goes when the driver ends."""
+    root = getattr(spark, "_annalist_root", None)
+    if root is None:
+        root = spark._annalist_root = os.path.join(shared_dir(spark), f"annalist-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}")
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        atexit.register(_forget, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p)
+    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def _forget(store, path) -> None:
+    try:
+        store.delete(path, True)
+    except Exception:  # the JVM is gone already
+        pass
+
+
+def cut(df: DataFrame, label: str = "cut", drop: DataFrame | None = None) -> DataFrame:
     """Materialise ``df`` in the shared folder and return it without its lineage.
 
     A written table survives the loss of executors and, unlike an RDD checkpoint, is read back columnar and
-    keeps column pruning; the plan of later rounds starts at this scan.
+    keeps column pruning; the plan of later rounds starts at this scan.  ``drop`` is an earlier cut that ``df`` was the
+    last to read; its files are deleted.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if drop is not None and (old := getattr(drop, "_annalist_path", None)):
+        drop_path(spark, old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._annalist_path = path
+    return out
 
 
-def cut_observed(df: DataFrame, label: str, figure: Column) -> tuple[DataFrame, object]:
+def cut_observed(df: DataFrame, label: str, figure: Column, drop: DataFrame | None = None) -> tuple[DataFrame, object]:
     """``cut``, and an aggregate over its rows that is taken while they are written."""
     seen = Observation()
-    out = cut(df.observe(seen, figure.alias("n")), label)
+    out = cut(df.observe(seen, figure.alias("n")), label, drop)
     return out, seen.get["n"]
 
 
-def cut_counted(df: DataFrame, label: str = "cut", where: str = "true") -> tuple[DataFrame, int]:
+def cut_counted(df: DataFrame, label: str = "cut", where: str = "true", drop: DataFrame | None = None) -> tuple[DataFrame, int]:
     """``cut``, and how many rows meet a condition, counted while they are written."""
-    out, n = cut_observed(df, label, F.count_if(F.expr(where)))
+    out, n = cut_observed(df, label, F.count_if(F.expr(where)), drop)
     return out, int(n or 0)
 
 
