@@ -3,8 +3,9 @@
 States are bitemporal: a state counts at an instant only if neither its ``valid_from`` nor its ``seen_at`` lies after
 it, and of the states that count the one with the latest (``valid_from``, ``seen_at``, ``row_id``) holds.  What is
 known changes only at the instants ``greatest(valid_from, seen_at)``; between two of them one state holds.  These
-validity intervals are cut at the borders of time buckets, so that events meet them by an equi-join on entity and
-bucket with half-open containment, and no event ever meets the whole history of an entity.
+validity intervals are exploded into the time buckets in which events of the entity lie, so that events meet them by an
+equi-join on entity and bucket with half-open containment, and no event ever meets the whole history of an entity.
+Entities with many states or events get finer buckets, and buckets that still hold very many events are salted.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from annalist.functions.ids import clean_id, clean_str
 from annalist.functions.timestamps import to_us
 from annalist.operators import chunked
 from annalist.operators.instants import event_instants
-from annalist.session import cut, cut_observed
+from annalist.session import cut, cut_counted, cut_observed
+
+#: A bucket with more events than this, and than this part of all events, is salted; at most SALTED buckets can be.
+SALT_ROWS, SALTED = 100_000, 10_000
 
 
 def known_states(*tables: DataFrame) -> DataFrame:
@@ -40,29 +44,25 @@ def known_states(*tables: DataFrame) -> DataFrame:
     return d.groupBy("entity_id", "known_us").agg(F.max("state").alias("state"))
 
 
-def validity(states: DataFrame, factors: DataFrame, horizon_us: int, width_days: int = chunked.WIDTH_DAYS) -> DataFrame:
-    """Pieces of validity: ``entity_id``, ``chunk``, ``from_us``, ``to_us``, ``state``; at most one covers an instant.
+def validity(states: DataFrame, used: DataFrame, width_days: int = chunked.WIDTH_DAYS) -> DataFrame:
+    """Pieces of validity in the ``used`` buckets (``entity_id``, ``chunk``, ``split``): ``entity_id``, ``chunk``,
+    ``from_us``, ``to_us``, ``state``; at most one covers an instant.
 
-    Inside (entity, chunk) a running maximum gives the state that holds after each change; the maximum of all earlier
-    chunks is carried in as one row at the start of the chunk.  Chunks without a change, up to the one of
-    ``horizon_us``, get that row alone.
+    ``states`` carry their ``chunk``.  Inside (entity, chunk) a running maximum gives the state that holds after each
+    change; the maximum of all earlier chunks is carried in as one row at the start of a used chunk.  Chunks without
+    events give nothing, so a stamp in the far past or future adds one row at most.
     """
-    d = chunked.with_chunk(states, factors, "entity_id", "known_us", width_days)
+    tops = states.groupBy("entity_id", "chunk").agg(F.max("state").alias("top")).withColumn("split", F.lit(None).cast("bigint"))
+    both = tops.unionByName(used.select("entity_id", "chunk", F.lit(None).cast(tops.schema["top"].dataType).alias("top"), "split"))
+    # One row per chunk with a state or an event, so the window holds a bounded number of rows per entity.
+    earlier = Window.partitionBy("entity_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    marks = both.groupBy("entity_id", "chunk").agg(F.max("top").alias("top"), F.max("split").alias("split")).withColumn("carry", F.max("top").over(earlier)).where("split IS NOT NULL")
+    starts = marks.where("carry IS NOT NULL").select("entity_id", "chunk", "split", chunked.chunk_start(F.col("chunk"), F.col("split"), width_days).alias("from_us"), F.col("carry").alias("state"))
     inner = Window.partitionBy("entity_id", "chunk").orderBy("known_us").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("best", F.max("state").over(inner))
-    tops = d.groupBy("entity_id", "chunk", "split").agg(F.max("state").alias("top"))
-    # One row per chunk of an entity, so the window below holds a bounded number of rows per entity.
-    outer = Window.partitionBy("entity_id").orderBy("chunk")
-    tops = tops.withColumn("until", F.max("top").over(outer.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    tops = tops.withColumn("carried", F.lag("until").over(outer)).withColumn("next", F.lead("chunk").over(outer))
-    into = tops.where(F.col("carried").isNotNull()).select("entity_id", "chunk", F.col("carried").alias("carry"))
-    changes = d.join(into, ["entity_id", "chunk"], "left").select("entity_id", "chunk", "split", F.col("known_us").alias("from_us"), F.when(F.col("carry") > F.col("best"), F.col("carry")).otherwise(F.col("best")).alias("state"))
-    starts = tops.where(F.col("carried").isNotNull()).select("entity_id", "chunk", "split", chunked.chunk_start(F.col("chunk"), F.col("split"), width_days).alias("from_us"), F.col("carried").alias("state"))
-    end = F.coalesce(F.col("next") - 1, chunked.chunk_of(F.lit(horizon_us), F.col("split"), width_days))
-    gaps = tops.where(F.col("chunk") < end).select("entity_id", "split", F.explode(F.sequence(F.col("chunk") + 1, end)).alias("chunk"), F.col("until").alias("state"))
-    gaps = gaps.withColumn("from_us", chunked.chunk_start(F.col("chunk"), F.col("split"), width_days))
-    pieces = changes.unionByName(starts).unionByName(gaps)
+    changes = states.select("entity_id", "chunk", "known_us", "state").join(marks.where("top IS NOT NULL").select("entity_id", "chunk", "split", "carry"), ["entity_id", "chunk"]).withColumn("best", F.max("state").over(inner))
+    changes = changes.select("entity_id", "chunk", "split", F.col("known_us").alias("from_us"), F.when(F.col("carry") > F.col("best"), F.col("carry")).otherwise(F.col("best")).alias("state"))
     # A change at the very start of a chunk leaves the carried row an empty piece; it contains no instant.
+    pieces = changes.unionByName(starts)
     after = F.lead("from_us").over(Window.partitionBy("entity_id", "chunk").orderBy("from_us", F.col("state")))
     pieces = pieces.withColumn("to_us", F.coalesce(after, chunked.chunk_start(F.col("chunk") + 1, F.col("split"), width_days)))
     return pieces.where("to_us > from_us").select("entity_id", "chunk", "from_us", "to_us", "state")
@@ -86,13 +86,19 @@ def found(events: DataFrame, states: list[DataFrame], source_formats: DataFrame,
     Events before the first known state of an entity, and entities without states, give no row.  Empty tables give no
     rows.
     """
-    # The log is read once: the latest instant, up to which empty chunks are filled, is observed on the way.
-    points, horizon = cut_observed(referred(events, source_formats), "points", F.max("instant_us"))
+    points, total = cut_counted(referred(events, source_formats), "points")
     known = cut(known_states(*states), "known")
-    if horizon is None:
-        horizon = 0
-    factors = chunked.split_factors(known, "entity_id", width_days)
+    factors = chunked.split_factors(points.select("entity_id").unionByName(known.select("entity_id")), "entity_id")
     left = chunked.with_chunk(points, factors, "entity_id", "instant_us", width_days)
-    right = validity(known, factors, horizon, width_days)
-    d = left.join(right, ["entity_id", "chunk"]).where("instant_us >= from_us AND instant_us < to_us")
+    used, busiest = cut_observed(left.groupBy("entity_id", "chunk", "split").agg(F.count(F.lit(1)).alias("n")), "used", F.max("n"))
+    right = validity(chunked.with_chunk(known, factors, "entity_id", "known_us", width_days), used, width_days)
+    keys = ["entity_id", "chunk"]
+    limit = max(SALT_ROWS, total // SALTED)
+    if (busiest or 0) > limit:
+        # At most SALTED buckets hold that many events.
+        salts = F.broadcast(used.where(F.col("n") > limit).select(*keys, F.ceil(F.col("n") / limit).cast("bigint").alias("salts")))
+        left = left.join(salts, keys, "left").withColumn("salt", F.pmod(F.xxhash64("event_id"), F.coalesce("salts", F.lit(1).cast("bigint")))).drop("salts")
+        right = right.join(salts, keys, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts") - 1, F.lit(0).cast("bigint"))))).drop("salts")
+        keys = [*keys, "salt"]
+    d = left.join(right, keys).where("instant_us >= from_us AND instant_us < to_us")
     return d.select("event_id", "entity_id", F.col("state.status").alias("status"), F.col("state.superseded_by").alias("superseded_by"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.timestamps import DAY_US
+from annalist.operators.skew import join_unique, largest
+from annalist.session import cut
 
 #: Width of a chunk in days for keys with few rows; a power of two times this many microseconds divides evenly.
 WIDTH_DAYS = 128
@@ -21,16 +23,17 @@ ROWS_PER_CHUNK = 256
 MAX_SPLIT = 1024
 
 
-def split_factors(rows: DataFrame, key: str, width_days: int = WIDTH_DAYS, per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """``key`` and ``split`` of the keys that need finer chunks, from counts made map side first."""
+def split_factors(rows: DataFrame, key: str, per_chunk: int = ROWS_PER_CHUNK) -> tuple[DataFrame, list]:
+    """(``key`` and ``split`` of the keys that need finer chunks, the largest keys), from counts made map side first."""
     n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     split = F.least(F.lit(MAX_SPLIT), F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / F.lit(per_chunk)))).cast("bigint"))
-    return n.where(F.col("n") > per_chunk).select(key, split.cast("bigint").alias("split"))
+    factors = cut(n.where(F.col("n") > per_chunk).select(key, "n", split.cast("bigint").alias("split")), "split")
+    return factors.select(key, "split"), largest(factors, key)
 
 
-def with_chunk(rows: DataFrame, factors: DataFrame, key: str, time_us: str, width_days: int = WIDTH_DAYS) -> DataFrame:
-    """Adds ``split`` and ``chunk``, the number of the chunk of ``time_us``."""
-    d = rows.join(factors, key, "left").withColumn("split", F.coalesce("split", F.lit(1).cast("bigint")))
+def with_chunk(rows: DataFrame, factors: tuple[DataFrame, list], key: str, time_us: str, width_days: int = WIDTH_DAYS) -> DataFrame:
+    """Adds ``split`` and ``chunk``, the number of the chunk of ``time_us``; rows of the largest keys are not shuffled."""
+    d = join_unique(rows, factors[0], key, "left", hot=factors[1]).withColumn("split", F.coalesce("split", F.lit(1).cast("bigint")))
     return d.withColumn("chunk", chunk_of(F.col(time_us), F.col("split"), width_days))
 
 

@@ -10,7 +10,10 @@ HOT_SHARE = 0.005
 
 
 def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE, least: int = 10_000) -> list:
-    """Keys that hold at least ``share`` of the rows and ``least`` rows; at most 1 / share values reach the driver."""
+    """Keys that hold at least ``share`` of the rows and ``least`` rows; at most 1 / share values reach the driver.
+
+    A key of fewer than ``least`` rows cannot burden a task, so it is never treated apart; results are the same.
+    """
     n = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     top = n.orderBy(F.desc("n")).limit(int(1 / share)).collect()
     if not top:
@@ -19,6 +22,11 @@ def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE, least: int = 1
     return [r[0] for r in top if r["n"] >= share * total]
 
 
+def largest(counts: DataFrame, key: str, n: str = "n", most: int = int(1 / HOT_SHARE), least: int = 10_000) -> list:
+    """Of counted keys those with the most rows, at most ``most`` and each with ``least`` rows or more."""
+    return [r[0] for r in counts.where(F.col(n) >= least).orderBy(F.desc(n), key).limit(most).select(key).collect()]
+
+
 def join_unique(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", share: float = HOT_SHARE, hot: list | None = None) -> DataFrame:
     """Join ``rows`` to ``lookup``, which has one row per key, without sending a hot key to one task.
 
