@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +22,7 @@ from annalist.functions.ids import clean_id, clean_str
 from annalist.functions.timestamps import format_us
 from annalist.operators import chunked
 from annalist.operators.instants import event_instants
+from annalist.operators.skew import join_unique
 from annalist.session import cut
 
 CHAIN = "id string, from_us bigint, until_us bigint, status string, superseded_by string"
@@ -49,7 +52,7 @@ def chains(changes: DataFrame, width_days: int = chunked.WIDTH_DAYS) -> DataFram
     """
     held = changes.groupBy("id", "at_us").agg(F.max(F.struct("event_id", "status", "superseded_by")).alias("held"))
     held = held.select("id", "at_us", F.struct("held.status", "held.superseded_by").alias("state"))
-    d = chunked.with_chunk(held, chunked.split_factors(held, "id", width_days), "id", "at_us", width_days)
+    d = chunked.with_chunk(held, chunked.split_factors(held, "id"), "id", "at_us", width_days)
     d = chunked.lag_across(d, "id", ["at_us"], "state", "before")
     versions = d.where(F.col("before").isNull() | (F.col("before") != F.col("state"))).drop("before")
     d = chunked.lead_across(versions, "id", ["at_us"], "at_us", "until_us")
@@ -59,65 +62,126 @@ def chains(changes: DataFrame, width_days: int = chunked.WIDTH_DAYS) -> DataFram
 class HistoryStore:
     """Raw changes and chains in one folder, updated by affected-chain rebuild.
 
-    Layout: ``raw/<n>`` and ``chains/<n>`` per generation n, and ``manifests/<n>.json`` whose presence commits it.
-    A chain is read from the newest generation that holds its entity.  ``apply`` is safe to repeat after a failure:
-    files without a manifest are never read.
+    Every update writes ``parts/<name>/raw``, ``touched`` and ``chains`` under a name of its own, and becomes visible when
+    its manifest ``manifests/<n>.json``, which names the part, is renamed into place.  Of two writers that build on the
+    same state one finds that manifest there already and fails; it has replaced nothing and may ``apply`` again.  Files
+    without a manifest are never read.
+
+    Raw changes are partitioned by a hash of their id, so an update reads the partitions of the ids it touches and no
+    others.  A chain is read from the newest generation that touched its entity.  ``compact`` folds all generations into
+    one.  ``buckets`` is fixed when the store is made; one per 128 MB of raw changes that are expected is about right.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | None = None, buckets: int = 32):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
         self._jvm = spark.sparkContext._jvm
-        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self._conf)
 
     def _p(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def generations(self) -> list[int]:
+    def manifests(self) -> list[dict]:
+        """Committed generations in order, from the last compaction on."""
         if not self._fs.exists(self._p("manifests")):
             return []
-        return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(self._p("manifests")) if s.getPath().getName().endswith(".json"))
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._p("manifests"))]
+        done: list[dict] = []
+        for g in sorted((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), reverse=True):
+            stream = self._fs.open(self._p(f"manifests/{g}.json"))
+            try:
+                done.insert(0, json.loads(bytes(stream.readAllBytes())))
+            finally:
+                stream.close()
+            if done[0]["base"]:
+                break
+        return done
+
+    def generations(self) -> list[int]:
+        return [m["generation"] for m in self.manifests()]
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
+
+    def _raw_schema(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
 
-    def raw(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/raw/{g}" for g in self.generations()])
+    def _raw(self, m: dict, buckets: list[int] | None = None) -> DataFrame:
+        d = self.spark.read.schema(self._raw_schema()).parquet(f"{self.path}/parts/{m['part']}/raw")
+        return (d if buckets is None else d.where(F.col("bucket").isin(buckets))).drop("bucket")
+
+    def raw(self, buckets: list[int] | None = None) -> DataFrame:
+        """All raw changes, or those of some partitions, whose files alone are read then."""
+        return reduce(DataFrame.unionByName, [self._raw(m, buckets) for m in self.manifests()])
+
+    def _read(self, m: dict, what: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/parts/{m['part']}/{what}")
 
     def read(self) -> DataFrame:
         """Chains as of the last committed generation."""
-        done = self.generations()
+        done = self.manifests()
         if not done:
             return self.spark.createDataFrame([], CHAIN)
-        newest = self.spark.read.schema(CHAIN).parquet(f"{self.path}/chains/{done[-1]}")
-        for g in reversed(done[:-1]):
-            # Ids of later generations, read from their short touched lists, hide older chains.
-            later = self.spark.read.schema("id string").parquet(*[f"{self.path}/touched/{x}" for x in done if x > g])
-            older = self.spark.read.schema(CHAIN).parquet(f"{self.path}/chains/{g}")
-            newest = newest.unionByName(older.join(later.distinct(), "id", "left_anti"))
-        return newest
+        if len(done) == 1:
+            return self._read(done[0], "chains", CHAIN)
+        marked = lambda what, schema: reduce(DataFrame.unionByName, [self._read(m, what, schema).withColumn("g", F.lit(m["generation"])) for m in done])
+        owner = marked("touched", "id string").groupBy("id").agg(F.max("g").alias("owner"))
+        return join_unique(marked("chains", CHAIN), owner, "id").where("g = owner").drop("g", "owner")
+
+    def _write(self, changes: DataFrame, part: str) -> None:
+        # Rebalancing gives a partition that is large, as that of a hot id, to several tasks.
+        changes.withColumn("bucket", self._bucket()).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/parts/{part}/raw")
 
     def apply(self, changes: DataFrame) -> int:
         """Add a batch of raw changes and replace the chains of all entities it touches; returns the generation."""
         if self.schema is None:
             self.schema = T.StructType([T.StructField(f.name, f.dataType) for f in changes.schema])
-        done = self.generations()
-        g = done[-1] + 1 if done else 0
-        changes.write.mode("overwrite").parquet(f"{self.path}/raw/{g}")
-        batch = self.spark.read.schema(self.schema).parquet(f"{self.path}/raw/{g}")
-        touched = batch.select("id").distinct()
-        touched.write.mode("overwrite").parquet(f"{self.path}/touched/{g}")
+        done, part = self.manifests(), uuid.uuid4().hex
+        here = f"{self.path}/parts/{part}"
+        self._write(changes, part)
+        batch = self._raw({"part": part})
+        batch.select("id").distinct().write.parquet(f"{here}/touched")
         if done:
-            ids = self.spark.read.schema("id string").parquet(f"{self.path}/touched/{g}")
-            batch = batch.unionByName(self.raw().join(ids, "id", "left_semi"))
-        chains(batch).write.mode("overwrite").parquet(f"{self.path}/chains/{g}")
-        self._commit(g)
-        return g
-
-    def _commit(self, g: int) -> None:
+            ids = self.spark.read.schema("id string").parquet(f"{here}/touched")
+            hit = [r["b"] for r in ids.select(self._bucket().alias("b")).distinct().collect()]
+            batch = batch.unionByName(self.raw(hit).join(ids, "id", "left_semi"))
+        chains(batch).write.parquet(f"{here}/chains")
+        return self._commit(done, part)
+
+    def compact(self) -> int:
+        """Fold all generations into one, which replaces them for readers from then on."""
+        done, part = self.manifests(), uuid.uuid4().hex
+        here = f"{self.path}/parts/{part}"
+        self._write(self.raw(), part)
+        self.read().write.parquet(f"{here}/chains")
+        self._read({"part": part}, "chains", CHAIN).select("id").distinct().write.parquet(f"{here}/touched")
+        return self._commit(done, part, base=True)
+
+    def vacuum(self) -> None:
+        """Delete parts that no readable generation names; only while nobody writes and no older reader is left."""
+        kept = {m["part"] for m in self.manifests()}
+        for s in self._fs.listStatus(self._p("parts")):
+            if s.getPath().getName() not in kept:
+                self._fs.delete(s.getPath(), True)
+
+    def _commit(self, done: list[dict], part: str, base: bool = False) -> int:
+        g = done[-1]["generation"] + 1 if done else 0
         self._fs.mkdirs(self._p("manifests"))
-        draft = self._p(f"manifests/.{uuid.uuid4().hex}")
+        draft, final = self._p(f"manifests/.{uuid.uuid4().hex}"), self._p(f"manifests/{g}.json")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"generation": g}).encode()))
+        out.write(bytearray(json.dumps({"generation": g, "part": part, "base": base or not done}).encode()))
         out.close()
-        if not self._fs.rename(draft, self._p(f"manifests/{g}.json")):
-            raise RuntimeError(f"generation {g} was committed by another writer")
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf)
+        never = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            # This rename never replaces a file that is there.
+            files.rename(self._fs.makeQualified(draft), self._fs.makeQualified(final), never)
+        except Py4JJavaError as e:
+            self._fs.delete(draft, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise RuntimeError(f"generation {g} was committed by another writer") from e
+            raise
+        return g
 
 
 def found(store: HistoryStore, events: DataFrame, source_formats: DataFrame, late_share: float = 0.1) -> DataFrame:
