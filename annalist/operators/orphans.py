@@ -1,9 +1,10 @@
 """Problem 6: references to records that are missing, arrived later, or are deleted.
 
 The keys of all parent tables form a register-blocked Bloom filter: one 64-bit word per block, all bits of a key in one
-word, built by a map-side combined ``bit_or`` and held as a table of words whose number has a fixed upper bound.  It is
-broadcast; a reference whose bits are not all set is a definite orphan.  Only filter-positive references are verified
-by an exact join.
+word, built by a map-side combined ``bit_or`` and held as a table of words whose number follows that of the keys.  Up to
+MAX_WORDS it is broadcast; a larger one stays spread over the cluster and references are routed to the range of words
+they need.  A reference whose bits are not all set is a definite orphan.  Only filter-positive references are verified
+by an exact join.  Parents and references are each computed once and written.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from annalist.functions.ids import clean_id, is_entity_id
 from annalist.operators.skew import join_unique
+from annalist.session import cut, cut_counted
 
-#: Upper bound of filter words (64 bits each), hence of the broadcast: 2^20 words are about 24 MB in an executor.
-#: Beyond about 4 million keys the filter only lets more references through to the exact join.
+#: Upper bound of filter words (64 bits each) that are broadcast: 2^20 words, enough for about 4 million keys, take about
+#: 50 MB in an executor.
 MAX_WORDS = 1 << 20
 BITS_PER_KEY = 16
 PROBES = 5
@@ -39,16 +41,17 @@ def bloom(keys: DataFrame, key: str, words: int) -> DataFrame:
 
 
 def probe(rows: DataFrame, key: str, filter_: DataFrame, words: int) -> DataFrame:
-    """Adds ``maybe``: false proves that ``key`` is not among the filter's keys.  ``filter_`` is bounded by ``words``."""
-    d = rows.withColumn("b_word", _word(F.col(key), words)).join(F.broadcast(filter_), "b_word", "left")
+    """Adds ``maybe``: false proves that ``key`` is not among the filter's keys.  ``filter_`` has at most ``words`` rows."""
+    d = rows.withColumn("b_word", _word(F.col(key), words))
+    d = d.join(F.broadcast(filter_), "b_word", "left") if words <= MAX_WORDS else join_unique(d, filter_, "b_word", "left")
     hit = F.col("b_bits").bitwiseAND(_bits(F.col(key))) == _bits(F.col(key))
     return d.withColumn("maybe", F.coalesce(hit, F.lit(False))).drop("b_word", "b_bits")
 
 
 def filter_words(keys: int) -> int:
-    """Words for that many keys: a power of two, at most MAX_WORDS."""
+    """Words for that many keys, a power of two."""
     words = 1024
-    while words < MAX_WORDS and words * 64 < keys * BITS_PER_KEY:
+    while words * 64 < keys * BITS_PER_KEY:
         words *= 2
     return words
 
@@ -101,10 +104,9 @@ def orphans(relations: DataFrame, events: DataFrame, entities: DataFrame, map_en
     Null and empty references point nowhere and are not bad.  A reference with a null ``seen_at`` can only be missing
     and has the period ''.  Repeated references of a row count once.
     """
-    p = parents(entities, map_entities, events, documents, commits)
-    # The number of keys sizes the filter; it is an upper bound, since a key may have several rows.
-    words = filter_words(p.count())
-    d = probe(references(relations, events, entities), "key", bloom(p, "key", words), words)
+    p, n_keys = cut_counted(parents(entities, map_entities, events, documents, commits), "parents")
+    words = filter_words(n_keys)
+    d = cut(probe(references(relations, events, entities), "key", bloom(p, "key", words), words), "probed")
     definite = d.where("NOT maybe").withColumn("reason", F.lit("missing"))
     checked = join_unique(d.where("maybe"), p.withColumn("present", F.lit(True)), "key", "left")
     reason = (

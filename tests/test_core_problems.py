@@ -44,7 +44,9 @@ def _states(n, hot):
 def test_asof_with_a_hot_entity(spark, monkeypatch, hot):
     from annalist.operators import chunked
 
-    monkeypatch.setattr(chunked.split_factors, "__defaults__", (chunked.WIDTH_DAYS, 8))
+    monkeypatch.setattr(chunked.split_factors, "__defaults__", (8,))
+    monkeypatch.setattr(asof, "SALT_ROWS", 10)
+    monkeypatch.setattr(asof, "SALTED", 1000)
     rng = random.Random(7)
     st = _states(400, hot) + rows("entity_states", [{"id": None, "status": "active"}, {"id": "svc-1", "status": "active", "valid_from": None}])
     for i, s in enumerate(st):
@@ -55,6 +57,24 @@ def test_asof_with_a_hot_entity(spark, monkeypatch, hot):
     assert got == brute.p2(ev, st, FORMATS) and got
 
 
+def test_asof_of_far_stamps_and_a_busy_entity_with_two_states(spark):
+    """A stamp of the year 9999 and one of the year 1 add a row each, and a tenth of all events on one entity is parted."""
+    from annalist.operators import chunked
+
+    st = rows("entity_states", [{"id": f"svc-{i % 200}", "status": "active", "valid_from": DAY, "seen_at": DAY} for i in range(200)] + [{"id": "svc-7", "status": "dropped", "valid_from": DAY + 900 * H, "seen_at": DAY}])
+    ev = [{"id": f"evt-{i}", "ts": (DAY + H * (i % 8000)).strftime("%Y-%m-%dT%H:%M:%SZ"), "refs": [{"kind": "entity", "id": "svc-7" if i % 10 == 0 else f"svc-{i % 200}"}]} for i in range(6000)]
+    ev += [{"id": "evt-far", "ts": "9999-12-31T00:00:00Z", "refs": [{"kind": "entity", "id": "svc-7"}]}, {"id": "evt-old", "ts": "0001-01-01T00:00:00Z", "refs": [{"kind": "entity", "id": "svc-7"}]}]
+    events, states, formats = frame(spark, "event_log", rows("event_log", ev)), frame(spark, "entity_states", st), frame(spark, "source_formats", FORMATS)
+    points, known = asof.referred(events, formats), asof.known_states(states)
+    factors = chunked.split_factors(points.select("entity_id").unionByName(known.select("entity_id")), "entity_id")
+    used = chunked.with_chunk(points, factors, "entity_id", "instant_us").groupBy("entity_id", "chunk", "split").count()
+    assert used.agg({"count": "max"}).first()[0] <= 512
+    pieces = asof.validity(chunked.with_chunk(known, factors, "entity_id", "known_us"), used.drop("count"))
+    assert pieces.count() <= used.count() + known.count()
+    got = {r["event_id"]: r["status"] for r in asof.found(events, [states], formats).collect()}
+    assert got["evt-far"] == "dropped" and "evt-old" not in got and got["evt-890"] == "active" and got["evt-900"] == "dropped" and len(got) == 6001
+
+
 def test_asof_empty(spark):
     assert result(asof.found(frame(spark, "event_log", []), [frame(spark, "entity_states", [])], frame(spark, "source_formats", []))) == set()
 
@@ -77,14 +97,38 @@ def test_history_touches_only_the_chains_of_a_batch(spark):
     first = frame(spark, "event_log", [make(1, "svc-a", "2024-01-01", "active"), make(2, "svc-b", "2024-01-01", "active")])
     late = frame(spark, "event_log", [make(3, "svc-a", "2023-06-01", "dropped")])
     fo = frame(spark, "source_formats", FORMATS)
-    store = history.HistoryStore(spark, scratch_path(spark, "t"))
+    store = history.HistoryStore(spark, scratch_path(spark, "t"), buckets=997)
     store.apply(history.assertions(first, fo))
     store.apply(history.assertions(late, fo))
-    assert {r["id"] for r in spark.read.parquet(f"{store.path}/chains/1").collect()} == {"svc-a"}
+    part = store.manifests()[1]["part"]
+    assert {r["id"] for r in spark.read.parquet(f"{store.path}/parts/{part}/chains").collect()} == {"svc-a"}
     assert {(r["id"], r["status"]) for r in store.read().collect()} == {("svc-a", "dropped"), ("svc-a", "active"), ("svc-b", "active")}
-    # An update that was not committed is not read, and can be repeated.
-    store.schema = None
     assert store.generations() == [0, 1]
+    want = sorted(map(tuple, store.read().collect()), key=str)
+    # Only the partition of the touched id is read for an update.
+    bucket = spark.createDataFrame([("svc-a",)], "id string").select(store._bucket()).first()[0]
+    assert {r["id"] for r in store.raw([bucket]).collect()} == {"svc-a"}
+    assert store.compact() == 2 and store.generations() == [2]
+    store.vacuum()
+    assert sorted(map(tuple, store.read().collect()), key=str) == want and store.raw().count() == 3
+
+
+def test_of_two_writers_on_one_state_the_second_fails_and_replaces_nothing(spark):
+    make = lambda i, e, ts, st: {"id": f"evt-{i}", "ts": ts, "derived_entities": [{"id": e, "status": st}]}
+    fo = frame(spark, "source_formats", FORMATS)
+    store = history.HistoryStore(spark, scratch_path(spark, "t"))
+    store.apply(history.assertions(frame(spark, "event_log", [make(1, "svc-a", "2024-01-01", "active")]), fo))
+    other = history.HistoryStore(spark, store.path, store.schema)
+    before = other.manifests()
+    store.apply(history.assertions(frame(spark, "event_log", [make(2, "svc-a", "2024-02-01", "dropped")]), fo))
+    want = sorted(map(tuple, store.read().collect()), key=str)
+    other.manifests = lambda: before  # it has read the state before the first writer committed
+    with pytest.raises(RuntimeError, match="another writer"):
+        other.apply(history.assertions(frame(spark, "event_log", [make(3, "svc-b", "2024-03-01", "active")]), fo))
+    del other.manifests
+    assert sorted(map(tuple, store.read().collect()), key=str) == want and store.generations() == [0, 1]
+    other.apply(history.assertions(frame(spark, "event_log", [make(3, "svc-b", "2024-03-01", "active")]), fo))
+    assert {r["id"] for r in store.read().collect()} == {"svc-a", "svc-b"}
 
 
 def test_hierarchy_shapes(spark):
@@ -111,6 +155,7 @@ def test_nested_sets_answer_ancestors_and_descendants(spark, monkeypatch):
             p = up[p]
             kids.setdefault(p, set()).add(n)
     of = full.select("id")
+    monkeypatch.setattr(hierarchy, "BLOCK_BITS", 2)
     assert {(r[0], r[1]) for r in hierarchy.descendants(full, of).collect()} == {(a, b) for a, s in kids.items() for b in s}
     assert {(r[0], r[1]) for r in hierarchy.ancestors(full, of).collect()} == {(b, a) for a, s in kids.items() for b in s}
     assert {r["id"]: r["n_descendants"] for r in full.collect()} == {f"n{i}": len(kids.get(f"n{i}", ())) for i in range(60)}
@@ -130,7 +175,7 @@ def test_orphans_on_awkward_rows(spark):
     assert ("relations", 2, "source", "svc-gone", "deleted", "2024-01") in got and not any(r[3] == "svc-back" for r in got)
 
 
-def test_filter_never_denies_a_key(spark):
+def test_filter_never_denies_a_key(spark, monkeypatch):
     keys = spark.range(5000).selectExpr("concat('entity:', id) AS key")
     words = orphans.filter_words(5000)
     f = orphans.bloom(keys, "key", words)
@@ -138,7 +183,10 @@ def test_filter_never_denies_a_key(spark):
     assert inside.where("NOT maybe").count() == 0
     outside = orphans.probe(spark.range(5000, 15000).selectExpr("concat('entity:', id) AS key"), "key", f, words)
     assert outside.where("maybe").count() < 500
-    assert orphans.filter_words(10**12) == orphans.MAX_WORDS
+    monkeypatch.setattr(orphans, "MAX_WORDS", 16)  # a filter beyond the bound of a broadcast
+    assert orphans.probe(keys, "key", f, words).where("NOT maybe").count() == 0
+    assert orphans.probe(spark.range(5000, 15000).selectExpr("concat('entity:', id) AS key"), "key", f, words).where("maybe").count() < 500
+    assert orphans.filter_words(10**9) * 64 >= 10**9 * orphans.BITS_PER_KEY
 
 
 def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
