@@ -51,10 +51,11 @@ def chains(changes: DataFrame, width_days: int = chunked.WIDTH_DAYS) -> DataFram
     before it makes no new version.  Keys with very many changes are scanned in time chunks.
     """
     held = changes.groupBy("id", "at_us").agg(F.max(F.struct("event_id", "status", "superseded_by")).alias("held"))
-    held = held.select("id", "at_us", F.struct("held.status", "held.superseded_by").alias("state"))
+    # Both tables are read several times below, to count, to scan and to carry.
+    held = cut(held.select("id", "at_us", F.struct("held.status", "held.superseded_by").alias("state")), "held")
     d = chunked.with_chunk(held, chunked.split_factors(held, "id"), "id", "at_us", width_days)
     d = chunked.lag_across(d, "id", ["at_us"], "state", "before")
-    versions = d.where(F.col("before").isNull() | (F.col("before") != F.col("state"))).drop("before")
+    versions = cut(d.where(F.col("before").isNull() | (F.col("before") != F.col("state"))).drop("before"), "versions", drop=held)
     d = chunked.lead_across(versions, "id", ["at_us"], "at_us", "until_us")
     return d.select("id", F.col("at_us").alias("from_us"), "until_us", "state.status", "state.superseded_by")
 
