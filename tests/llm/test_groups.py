@@ -31,12 +31,24 @@ SHAPES = {
 }
 
 
-@pytest.mark.parametrize("shape", list(SHAPES))
-def test_shapes(spark, shape):
-    assert result(groups.components(_pairs(spark, SHAPES[shape]))) == _want(SHAPES[shape])
+SHAPES["loop on a hub"] = SHAPES["clique"] + [("k0", "l0"), ("l0", "l1"), ("l1", "l2"), ("l2", "k0"), ("k1", "m0"), ("m0", "k2"), ("k3", "z0"), ("z0", "a0"), ("a0", "a1")]
 
 
-def test_random_graph_with_separate_groups(spark):
+def test_shapes(spark):
+    """All shapes at once, with names of their own."""
+    edges = [(f"{k}:{a}", f"{k}:{b}") for k, e in SHAPES.items() for a, b in e]
+    assert result(groups.components(_pairs(spark, edges))) == _want(edges)
+
+
+def test_walks_reach_both_ends_of_a_chain(spark):
+    low = spark.createDataFrame([("a", 1, "b", "b"), ("b", 2, "a", "c"), ("c", 2, "b", "d"), ("d", 2, "c", "hub"), ("r", 2, "s", "t"), ("s", 2, "r", "t"), ("t", 2, "r", "s")], "u string, n long, n1 string, n2 string")
+    got = {(r["u"], r["w"]): (r["end"], r["end_leaf"], r["steps"]) for r in groups._walks(low).where("a IS NULL").collect()}
+    assert got == {("a", "b"): ("hub", False, 4), ("b", "a"): ("a", True, 1), ("b", "c"): ("hub", False, 3), ("c", "b"): ("a", True, 2), ("c", "d"): ("hub", False, 2), ("d", "c"): ("a", True, 3), ("d", "hub"): ("hub", False, 1)}
+
+
+@pytest.mark.parametrize("core", [groups.CORE, 0])
+def test_random_graph_with_separate_groups(spark, monkeypatch, core):
+    monkeypatch.setattr(groups, "CORE", core)
     rng = random.Random(5)
     edges = [(f"v{rng.randint(0, 150)}", f"v{rng.randint(0, 150)}") for _ in range(140)] + SHAPES["clique"] + SHAPES["ring"]
     assert result(groups.components(_pairs(spark, edges))) == _want(edges)
