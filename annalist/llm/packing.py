@@ -26,8 +26,9 @@ RANK_CHUNKS = 256
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Upper bounds of the length buckets with the least total padding (``sizes`` ascending and distinct).
 
-    The cost of a bucket over sizes i+1..j is bound * items - tokens; the best split point moves monotonically with j,
-    so each layer is solved by divide and conquer.
+    The cost of a bucket over sizes i+1..j is bound * items - tokens.  As a function of i that is a line in the bound, so
+    a layer is the lower envelope of lines; the best i moves monotonically with j, and all middles of one depth of the
+    halving are solved at once.
     """
     m = len(sizes)
     if m <= buckets:
@@ -35,23 +36,11 @@ def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     n = np.concatenate([[0], np.cumsum(counts)]).astype(float)
     s = np.concatenate([[0], np.cumsum(counts * sizes)]).astype(float)
     bound = np.concatenate([[0], sizes]).astype(float)
-    best = np.full(m + 1, np.inf)
-    best[0] = 0.0
-    came = np.zeros((buckets + 1, m + 1), dtype=np.int64)
-    for k in range(1, buckets + 1):
-        new = np.full(m + 1, np.inf)
-        stack = [(1, m, 0, m - 1)]
-        while stack:
-            lo, hi, a, b = stack.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(b, j - 1) + 1)
-            cost = best[i] + bound[j] * (n[j] - n[i]) - (s[j] - s[i])
-            at = int(np.argmin(cost))
-            new[j], came[k, j] = cost[at], i[at]
-            stack += [(lo, j - 1, a, int(i[at])), (j + 1, hi, int(i[at]), b)]
-        best = new
+    # The first layer is one bucket over sizes 1..j.
+    best = bound * n - s
+    came = np.zeros((buckets + 1, m + 1), dtype=np.int32)
+    for k in range(2, buckets + 1):
+        best, came[k] = _layer(best, n, s, bound)
     out, j = [], m
     for k in range(buckets, 0, -1):
         out.append(j)
@@ -61,6 +50,30 @@ def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
     return sizes[np.array(sorted(out)) - 1]
 
 
+def _layer(best: np.ndarray, n: np.ndarray, s: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """min over i < j of best[i] + bound[j] * (n[j] - n[i]) - (s[j] - s[i]), and the first such i, for all j."""
+    m = len(best) - 1
+    g = best + s
+    new, came = np.zeros(m + 1), np.zeros(m + 1, dtype=np.int32)
+    # Open stretches lo..hi of j, with the i that may be best for them: first[lo - 1] and last[hi + 1] bound them.
+    lo, hi = np.array([1]), np.array([m])
+    a, b = np.array([0]), np.array([m - 1])
+    while len(lo):
+        mid = (lo + hi) // 2
+        top = np.minimum(b, mid - 1)
+        size = top - a + 1
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        i = np.arange(int(size.sum())) + np.repeat(a - start, size)
+        cost = g[i] - np.repeat(bound[mid], size) * n[i]
+        least = np.minimum.reduceat(cost, start)
+        hit = np.flatnonzero(cost == np.repeat(least, size))
+        at = i[hit[np.searchsorted(hit, start)]]
+        new[mid], came[mid] = least + bound[mid] * n[mid] - s[mid], at
+        left, right = lo < mid, mid < hi
+        lo, hi, a, b = np.concatenate([lo[left], mid[right] + 1]), np.concatenate([mid[left] - 1, hi[right]]), np.concatenate([a[left], at[right]]), np.concatenate([at[left], b[right]])
+    return new, came
+
+
 def fill_plan(bounds: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns (containers, [(bucket, items per container)]) that use up all items.
 
