@@ -14,7 +14,7 @@ import itertools
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.tokens import VOCAB, with_token_count
@@ -147,14 +147,28 @@ def report(mixed: DataFrame, targets: DataFrame, documents: DataFrame | None = N
     With ``documents`` also the tokens that the source has there and the size of the mix against all documents.
     """
     n = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_copies").alias("n_uses"), F.sum(F.col("n_copies") * F.col("n_tokens")).alias("n_tokens"), F.max("n_copies").alias("most_uses"))
-    total = n.agg(F.sum("n_tokens").alias("all_tokens"))
+    # One row per source: a handful.
+    whole = Window.partitionBy(F.lit(1))
     t = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    d = t.join(n, "source", "left").withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one", "left")
+    d = t.join(n, "source", "left").withColumn("all_tokens", F.sum("n_tokens").over(whole))
     out = [F.col("source"), F.col("target_share"), F.col("max_repeats"), F.round(zero("n_tokens") / F.col("all_tokens"), 6).alias("actual_share"), zero("n_docs").alias("n_docs"), zero("n_uses").alias("n_uses"), zero("n_tokens").alias("n_tokens"), zero("most_uses").alias("most_uses")]
     if documents is not None:
         have = with_token_count(documents.select("text", source_key(F.col("source")).alias("source")), "text", "k", vocab).groupBy("source").agg(F.sum("k").alias("source_tokens"))
-        have = cut(have, "have")  # one row per source
-        d = d.join(have, "source", "left").join(have.agg(F.sum("source_tokens").alias("corpus_tokens")).withColumn("one", F.lit(1)), "one", "left")
+        have = have.withColumn("corpus_tokens", F.sum("source_tokens").over(whole))
+        d = d.join(have, "source", "left").withColumn("corpus_tokens", F.max("corpus_tokens").over(whole))
         out += [zero("source_tokens").alias("source_tokens"), F.round(F.col("all_tokens") / F.col("corpus_tokens"), 6).alias("mix_to_corpus")]
     return d.select(*out)
+
+
+def checks(mixed: DataFrame, targets: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per target source whether what a mix promises holds: ``caps_kept``, ``share_met`` (to two of its largest documents,
+    of the targets scaled to the sources that have tokens), and ``n_strange``, its rows that are no document of it."""
+    d = mixed.join(documents.select("doc_id", source_key(F.col("source")).alias("own")), "doc_id", "left")
+    strange = F.count_if(F.coalesce(F.col("own") != F.col("source"), F.lit(True)))
+    n = d.groupBy("source").agg(F.sum(F.col("n_copies") * F.col("n_tokens")).alias("tokens"), F.max("n_tokens").alias("largest"), F.max("n_copies").alias("most"), strange.alias("strange"))
+    t = targets.where("target_share > 0 AND max_repeats > 0").select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").where("source IS NOT NULL").groupBy("source").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap"))
+    whole = Window.partitionBy(F.lit(1))  # one row per source
+    d = t.join(n, "source", "left").withColumn("all_tokens", F.sum("tokens").over(whole)).withColumn("used", F.sum(F.when(F.col("tokens").isNotNull(), F.col("share"))).over(whole))
+    off = F.abs(F.col("tokens") - F.col("share") / F.col("used") * F.col("all_tokens"))
+    return d.select("source", F.coalesce(F.col("most") <= F.col("cap"), F.lit(True)).alias("caps_kept"), F.coalesce(off <= 2 * F.col("largest"), F.lit(True)).alias("share_met"), F.coalesce("strange", F.lit(0)).alias("n_strange"))

@@ -174,3 +174,19 @@ def report(packed: DataFrame, budgets: DataFrame) -> DataFrame:
     caps = budgets.groupBy("budget").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
     d = d.join(caps, "budget")
     return d.select("budget", "capacity", "n_containers", "n_tokens", "largest", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity")), 6).alias("filled"), F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least_containers"))
+
+
+def checks(packed: DataFrame, documents: DataFrame, budgets: DataFrame, vocab: str = VOCAB) -> DataFrame:
+    """Per budget how often what a packing promises fails: ``n_docs`` packed, ``n_over`` containers above their capacity, and
+    documents that are ``n_missing``, have pieces twice, apart or of other tokens than their text (``n_broken``), or were
+    divided without need (``n_divided``)."""
+    caps = budgets.where("capacity_tokens > 0").groupBy("budget").agg(F.max("capacity_tokens").cast("bigint").alias("capacity"))
+    over = packed.groupBy("budget", "container").agg(F.sum("n_tokens").alias("t")).join(F.broadcast(caps), "budget").groupBy("budget").agg(F.count_if(F.col("t") > F.col("capacity")).alias("n_over"))
+    own = with_token_count(documents.select("doc_id", "text"), "text", "tokens", vocab).select("doc_id", "tokens")
+    # Each document once per budget; budgets are a short configuration table.
+    wanted = own.select("doc_id", "tokens", F.explode(F.array(*[F.lit(r["budget"]) for r in caps.select("budget").collect()]).cast("array<string>")).alias("budget"))
+    d = packed.join(F.broadcast(caps), "budget").groupBy("budget", "doc_id").agg(F.count(F.lit(1)).alias("parts"), (F.max("part") + 1).alias("last"), F.sum("n_tokens").alias("t"), F.count_if(F.col("start_token") != F.col("part") * F.col("capacity")).alias("apart"), F.max("capacity").alias("capacity"))
+    d = wanted.join(d, ["budget", "doc_id"], "left")
+    broken = (F.col("parts") != F.col("last")) | (F.col("t") != F.col("tokens")) | (F.col("apart") > 0)
+    d = d.groupBy("budget").agg(F.count("parts").alias("n_docs"), F.count_if(F.col("parts").isNull()).alias("n_missing"), F.count_if(broken).alias("n_broken"), F.count_if((F.col("parts") > 1) & (F.col("tokens") <= F.col("capacity"))).alias("n_divided"))
+    return d.join(over, "budget").select("budget", "n_docs", "n_over", "n_missing", "n_broken", "n_divided")
