@@ -8,6 +8,8 @@ label, and the same sentence scores then locate the offence.
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 import unicodedata
 import zlib
@@ -15,11 +17,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.mixing import source_key
-from annalist.session import ship
+from annalist.session import cut, ship
 
 #: The classifier is fitted on at most this many labelled documents, chosen by the hash of their id.
 TRAIN_DOCS = 12_000
@@ -27,6 +29,10 @@ TRAIN_DOCS = 12_000
 #: of all labels.
 BACKGROUND_DOCS = 6_000
 BACKGROUND_SHARE = 0.25
+#: Characters of the documents of both kinds together.
+TRAIN_CHARS = 80_000_000
+#: Models, each fitted without the labels of one part of the documents.
+FOLDS = 5
 BITS = 18
 SIZE = 1 << BITS
 #: Documents from this score on are flagged.
@@ -184,13 +190,19 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(s, -30, 30))), docs, spans
 
 
-#: Sentences below this probability count as clean, so that long texts don't add up to an offence.
-LEAST = 0.02
+#: How sure a sentence has to be to count in full: a smooth weight p / (p + SOFT) keeps long clean texts from adding up to
+#: an offence.  Training and scoring use the same bag.
+SOFT = 0.02
 
 
 def bag_scores(p: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
-    """Noisy-or of the sentences that are not plainly clean."""
-    return noisy_or(np.where(p >= LEAST, p, 0.0), docs, n)
+    """Noisy-or of the weighted sentences."""
+    return noisy_or(p * p / (p + SOFT), docs, n)
+
+
+def bag_slope(p: np.ndarray) -> np.ndarray:
+    """Change of a bag with the score of a sentence, as a share of the chance 1 - P that is left."""
+    return p * p * (p + 2 * SOFT) * (1 - p) / ((p + SOFT) * (p + SOFT - p * p))
 
 
 def noisy_or(p: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
@@ -256,10 +268,10 @@ def _descend(bags: Bags, y: np.ndarray, weight: np.ndarray, epochs: int, rate: f
     slope = 1 - FALSE_YES - FALSE_NO
     for _ in range(epochs):
         p = 1.0 / (1.0 + np.exp(-np.clip(bags.scores(w, b), -30, 30)))
-        bag = np.clip(noisy_or(p, bags.docs, bags.n), 1e-6, 1 - 1e-9)
-        # d P / d s of a sentence is p (1 - P); d loss / d P is (1 - y) / (1 - q) - y / q, times the slope of q.
+        bag = np.clip(bag_scores(p, bags.docs, bags.n), 1e-6, 1 - 1e-9)
+        # d P / d s of a sentence is slope (1 - P); d loss / d P is (1 - y) / (1 - q) - y / q, times the slope of q.
         q = FALSE_YES + slope * bag
-        g = p * ((1 - bag) * slope * ((1 - y) / (1 - q) - y / q) * weight)[bags.docs]
+        g = bag_slope(p) * ((1 - bag) * slope * ((1 - y) / (1 - q) - y / q) * weight)[bags.docs]
         grad = np.where(bags.shared, bags.gradient(g) / total + l2 * w, 0.0)
         gb = g.sum() / total
         h += grad**2
@@ -269,73 +281,134 @@ def _descend(bags: Bags, y: np.ndarray, weight: np.ndarray, epochs: int, rate: f
     return w, float(b)
 
 
-def train(texts: list[str], y: np.ndarray, weight: np.ndarray, watch: dict[str, str], epochs: int = 60, rate: float = 0.25, l2: float = 3e-6, folds: int = 5) -> Model:
-    """One model per fold.
+def fit_fold(texts: list[str], y: np.ndarray, weight: np.ndarray, watch: dict[str, str], k: int, epochs: int = 60, rate: float = 0.25, l2: float = 3e-6) -> tuple[np.ndarray, float]:
+    """Weights and bias of the model of fold ``k``, which has not seen the labels of the texts of that fold."""
+    opened = [open_text(t) for t in texts]
+    fold = np.array([fold_of(t, FOLDS) for t in opened])
+    return _descend(Bags(opened, watch), y, weight * (fold != k), epochs, rate, l2)
+
+
+def _one_per_task(spark: SparkSession) -> list[int]:
+    """For each fold a key that ``repartition(FOLDS, key)`` sends to a partition of its own."""
+    d = spark.range(64 * FOLDS).groupBy(F.expr(f"pmod(hash(id), {FOLDS})").alias("p")).agg(F.min("id").alias("k"))
+    return [r["k"] for r in d.orderBy("p").collect()]
+
 
-    With too few toxic documents to spare a fold, one model is fitted on all.
+def sample(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The bounded sample a model is fitted on: ``doc_id``, ``text``, ``yes``, ``n`` (opinions, 0 for the background).
+
+    At most TRAIN_DOCS labelled documents, BACKGROUND_DOCS others and TRAIN_CHARS characters, by the hash of their ids.
     """
-    opened = [open_text(t) for t in texts]
-    bags = Bags(opened, watch)
-    fold = np.array([fold_of(t, folds) for t in opened])
-    if len(texts) < 30 or min(int(y[fold != k].sum()) for k in range(folds)) < 3:
-        w, b = _descend(bags, y, weight, epochs, rate, l2)
-        return Model(w.astype(np.float32)[None], np.array([b]), THRESHOLD, watch)
-    fits = [_descend(bags, y, weight * (fold != k), epochs, rate, l2) for k in range(folds)]
-    return Model(np.stack([w.astype(np.float32) for w, _ in fits]), np.array([b for _, b in fits]), THRESHOLD, watch)
+    votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.sum(F.col("toxic").cast("double")).alias("yes"), F.count(F.lit(1)).alias("n"))
+    votes = votes.withColumn("h", F.xxhash64("doc_id", F.lit(3))).orderBy("h", "doc_id").limit(TRAIN_DOCS)
+    d = documents.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    own = d.join(F.broadcast(votes), "doc_id").select("doc_id", "text", "yes", "n", "h")
+    rest = d.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "text", F.lit(0.0).alias("yes"), F.lit(0).cast("bigint").alias("n"), F.xxhash64("doc_id", F.lit(4)).alias("h"))
+    chosen = cut(own.unionByName(rest.orderBy("h", "doc_id").limit(BACKGROUND_DOCS)), "sample")
+    # At most TRAIN_DOCS + BACKGROUND_DOCS rows, without their texts.
+    w = Window.orderBy("h", "doc_id")
+    kept = chosen.select("doc_id", "h", F.length("text").alias("k")).withColumn("upto", F.sum("k").over(w)).where(F.col("upto") <= TRAIN_CHARS).select("doc_id")
+    return chosen.join(F.broadcast(kept), "doc_id", "left_semi").drop("h")
 
 
 def fit(documents: DataFrame, labels: DataFrame, watch_terms: DataFrame) -> Model:
-    """The classifier from a bounded sample of labelled documents.
+    """The classifier from a bounded sample of labelled documents, one fold per task.
 
     Each opinion of a rater counts as one label; a document on which raters differ is thus half and half.  Without any
-    label only the watched terms speak.
+    label only the watched terms speak.  ``watch_terms`` is a list made by hand, all of which is used.
     """
-    votes = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.sum(F.col("toxic").cast("double")).alias("yes"), F.count(F.lit(1)).alias("n"))
-    votes = votes.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(TRAIN_DOCS)
-    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(votes), "doc_id").orderBy("doc_id").collect()
-    watch = watch_list([(r["term"], r["category"]) for r in watch_terms.select("term", "category").limit(100_000).collect()])
-    if not rows:
+    spark = documents.sparkSession
+    watch = watch_list([(r["term"], r["category"]) for r in watch_terms.select("term", "category").collect()])
+    d = cut(sample(documents, labels), "sample")
+    opinions, n_rest = d.agg(F.sum("n"), F.count_if(F.col("n") == 0)).first()
+    if not opinions:
         w = np.zeros((1, SIZE), dtype=np.float32)
         w[0, _hash("watched")] = 6.0
         return Model(w, np.array([-4.0]), THRESHOLD, watch)
-    rest = documents.select("doc_id", "text").where("text IS NOT NULL").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    rest = rest.orderBy(F.xxhash64("doc_id", F.lit(4)), "doc_id").limit(BACKGROUND_DOCS).collect()
-    texts = [r["text"] for r in rows + rest]
-    y = np.array([r["yes"] / r["n"] for r in rows] + [0.0] * len(rest))
-    votes_of = [float(r["n"]) for r in rows]
-    weight = np.array(votes_of + [min(0.5, BACKGROUND_SHARE * sum(votes_of) / max(1, len(rest)))] * len(rest))
-    return train(texts, y, weight, watch)
+    light = min(0.5, BACKGROUND_SHARE * float(opinions) / max(1, n_rest))
+    keys = _one_per_task(spark)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = list(parts)
+        if parts:
+            pdf = pd.concat(parts).sort_values("doc_id")
+            n = pdf["n"].to_numpy(dtype=float)
+            y = pdf["yes"].to_numpy() / np.maximum(n, 1)
+            k = keys.index(int(pdf["key"].iloc[0]))
+            w, b = fit_fold(pdf["text"].tolist(), y, np.where(n > 0, n, light), watch, k)
+            yield pd.DataFrame({"k": [k], "w": [w.astype(np.float32).tobytes()], "b": [b]})
+
+    ship(spark)
+    # The sample is bounded, so each fold may have all of it in one task.
+    spread = d.withColumn("key", F.explode(F.array(*[F.lit(k) for k in keys]))).repartition(FOLDS, "key")
+    fits = sorted(spread.mapInPandas(run, "k int, w binary, b double").collect(), key=lambda r: r["k"])
+    return Model(np.stack([np.frombuffer(r["w"], dtype=np.float32) for r in fits]), np.array([r["b"] for r in fits]), THRESHOLD, watch)
 
 
 _WORKER: dict = {}
 
 
 def _load(sent) -> Model:
-    weights, bias, threshold, watch = sent.value
-    key = (float(weights.sum()), float(bias.sum()), threshold)
+    """The model of this worker process; ``sent`` names it by a digest of all it holds."""
+    key, weights, bias, threshold, watch = sent.value
     if _WORKER.get("key") != key:
         _WORKER["model"], _WORKER["key"] = Model(weights, bias, threshold, watch), key
     return _WORKER["model"]
 
 
+def origin(text: str) -> tuple[str, list[int]]:
+    """``open_text`` of a text, and where each of its characters stands in the text (empty where that cannot be told)."""
+    opened = open_text(text)
+    chars = [(c, i) for i, c in enumerate(text)]
+    if not text.isascii():
+        chars = [(x, i) for c, i in chars for x in c.translate(_HIDDEN).translate(_ALIKE)]
+        joined: list[tuple[str, int]] = []
+        at = 0
+        while at < len(chars):
+            end = at + 1
+            while end < len(chars) and unicodedata.combining(chars[end][0]):
+                end += 1
+            joined += [(x, chars[at][1]) for x in unicodedata.normalize("NFC", "".join(c for c, _ in chars[at:end]))]
+            at = end
+        chars = joined
+    plain = "".join(c for c, _ in chars)
+    gone: set[int] = set()
+    for m in _SPACED.finditer(plain):
+        letters = [k for k in range(*m.span()) if plain[k] not in " ._*-"]
+        if sum(plain[k].isalpha() for k in letters) * 2 > len(letters):
+            gone |= set(range(*m.span())) - set(letters)
+    chars = [x for k, x in enumerate(chars) if k not in gone]
+    return opened, [i for _, i in chars] if "".join(c for c, _ in chars) == opened else []
+
+
+def as_it_stands(text: str, start: int, end: int) -> str:
+    """The part of a text whose opened form is ``open_text(text)[start:end]``; that form where it cannot be found."""
+    opened, at = origin(text)
+    if not at:
+        return opened[start:end].strip()
+    past = at[end] if end < len(at) else len(text)
+    return text[at[start] : past].strip()
+
+
 def score(documents: DataFrame, model: Model, located: bool = False) -> DataFrame:
     """``doc_id``, ``score``, ``n_sentences``, ``flagged`` of every document; with ``located`` one row per offending
-    sentence of flagged documents instead: ``doc_id``, ``sentence_no``, ``sentence``, ``score``.
+    sentence of flagged documents instead: ``doc_id``, ``sentence_no``, ``sentence`` (as it stands), ``score``.
 
     Null and empty texts score 0.
     """
     ship(documents.sparkSession)
-    sent = documents.sparkSession.sparkContext.broadcast((model.weights, model.bias, model.threshold, model.watch))
+    key = hashlib.sha256(pickle.dumps((model.weights.tobytes(), model.bias.tobytes(), model.threshold, sorted(model.watch.items())))).hexdigest()
+    sent = documents.sparkSession.sparkContext.broadcast((key, model.weights, model.bias, model.threshold, model.watch))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = _load(sent)
         for pdf in parts:
             for at in range(0, len(pdf), BATCH):
-                cut = pdf.iloc[at : at + BATCH]
-                texts = [open_text(t) if t else "" for t in cut["text"]]
+                some = pdf.iloc[at : at + BATCH]
+                texts = [open_text(t) if t else "" for t in some["text"]]
                 p, docs, spans = m.sentence_scores(texts)
                 bag = bag_scores(p, docs, len(texts)) if len(p) else np.zeros(len(texts))
-                ids = cut["doc_id"].to_numpy()
+                ids = some["doc_id"].to_numpy()
                 if not located:
                     yield pd.DataFrame({"doc_id": ids, "score": bag, "n_sentences": np.bincount(docs, minlength=len(texts)).astype(np.int64), "flagged": bag >= m.threshold})
                     continue
@@ -343,7 +416,7 @@ def score(documents: DataFrame, model: Model, located: bool = False) -> DataFram
                 best = np.zeros(len(texts))
                 np.maximum.at(best, docs, p)
                 hit = np.flatnonzero((bag >= m.threshold)[docs] & ((p >= 0.5) | (p >= best[docs])))
-                yield pd.DataFrame({"doc_id": ids[docs[hit]], "sentence_no": hit - first[docs[hit]], "sentence": [texts[docs[k]][slice(*spans[k])].strip() for k in hit], "score": p[hit]})
+                yield pd.DataFrame({"doc_id": ids[docs[hit]], "sentence_no": hit - first[docs[hit]], "sentence": [as_it_stands(some["text"].iloc[docs[k]], *spans[k]) for k in hit], "score": p[hit]})
 
     schema = "doc_id bigint, sentence_no bigint, sentence string, score double" if located else "doc_id bigint, score double, n_sentences bigint, flagged boolean"
     return documents.select("doc_id", "text").where("doc_id IS NOT NULL").mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -134,8 +136,9 @@ def spans(model: crf.Model, batch: list[str]) -> Iterator[tuple[int, str, int, i
 
 def _with_model(model: crf.Model, spark: SparkSession):
     ship(spark)
-    sent = spark.sparkContext.broadcast((model.own, model.keys, model.given, model.w_own, model.w_key, model.trans, model.skip))
-    return sent
+    parts = (model.own, model.keys, model.given, model.w_own, model.w_key, model.trans, model.skip)
+    key = hashlib.sha256(pickle.dumps((list(model.own), list(model.keys), sorted(model.given), *(x.tobytes() for x in parts[3:])))).hexdigest()
+    return spark.sparkContext.broadcast((key, *parts))
 
 
 #: The model of this worker process and what it was loaded from.
@@ -143,13 +146,13 @@ _WORKER: dict = {}
 
 
 def _load(sent) -> crf.Model:
-    own, keys, given, w_own, w_key, trans, skip = sent.value
-    held = _WORKER.get("model") if _WORKER.get("key") == (len(own), float(w_own.sum()), float(trans.sum())) else None
+    key, own, keys, given, w_own, w_key, trans, skip = sent.value
+    held = _WORKER.get("model") if _WORKER.get("key") == key else None
     if held is None:
         held = crf.Model(own, keys, given)
         held.w_own, held.w_key, held.trans, held.skip = w_own, w_key, trans, skip
         held.prepare()
-        _WORKER["model"], _WORKER["key"] = held, (len(own), float(w_own.sum()), float(trans.sum()))
+        _WORKER["model"], _WORKER["key"] = held, key
     if len(held.types.rows) > 400_000:
         held.prepare()  # the cache of tokens is bounded
     return held

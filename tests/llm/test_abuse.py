@@ -65,6 +65,31 @@ def test_no_labels_and_empty(spark):
     assert abuse.found(frame(spark, "documents", []), none, frame(spark, "watch_terms", [])).collect() == []
 
 
+def test_offending_sentences_are_given_as_they_stand():
+    text = "Fine.\nYou are an i\u00addi\u043et, s.t.u.p.i.d cafe\u0301 man! Bye."
+    opened, at = abuse.origin(text)
+    assert len(at) == len(opened) and "stupid" in opened
+    start = opened.index("You")
+    assert abuse.as_it_stands(text, start, opened.index(" Bye")) == text[6:-5]
+    assert abuse.as_it_stands("plain text", 0, 5) == "plain"
+
+
+def test_models_with_equal_weights_and_other_watch_lists_are_told_apart(spark):
+    d = frame(spark, "documents", [{"doc_id": 1, "text": "what an Idiot"}, {"doc_id": 2, "text": "fine words"}])
+    none = frame(spark, "doc_labels", [])
+    for term, want in (("idiot", [1]), ("fine", [2])):
+        terms = frame(spark, "watch_terms", [{"term": term, "category": "abuse"}])
+        assert [r["doc_id"] for r in abuse.found(d.coalesce(1), none, terms).collect()] == want
+
+
+def test_slope_of_a_bag():
+    s = np.linspace(-6, 6, 25)
+    p, q = (1 / (1 + np.exp(-(s + e))) for e in (0.0, 1e-6))
+    one = np.arange(len(s))
+    a, b = abuse.bag_scores(p, one, len(s)), abuse.bag_scores(q, one, len(s))
+    assert np.allclose((b - a) / 1e-6, abuse.bag_slope(p) * (1 - a), atol=1e-5)
+
+
 def test_noisy_or():
     p = np.array([0.5, 0.5, 0.1])
     assert np.allclose(abuse.noisy_or(p, np.array([0, 0, 2]), 3), [0.75, 0.0, 0.1])
