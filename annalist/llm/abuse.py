@@ -36,7 +36,7 @@ FOLDS = 5
 BITS = 18
 SIZE = 1 << BITS
 #: Documents from this score on are flagged.
-THRESHOLD = 0.4
+THRESHOLD = 0.5
 BATCH = 500
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?…]+(?=\s)|;(?=\s)|(?=\n)|$)")
 _SPACED = re.compile(r"(?<![^\W_])[^\W_]([ ._*-])[^\W_](?:\1[^\W_]){2,}(?![^\W_])")
@@ -243,6 +243,11 @@ class Bags:
         np.minimum.at(first, self.pair_feature, doc)
         np.maximum.at(last, self.pair_feature, doc)
         self.shared = first < last
+        # Their weights stay 0, so the passes leave them out.
+        kept = self.shared[self.word_feature]
+        self.word_of, self.word_feature = self.word_of[kept], self.word_feature[kept]
+        kept = self.shared[self.pair_feature]
+        self.pair_feature, self.pair_of = self.pair_feature[kept], self.pair_of[kept]
 
     def scores(self, w: np.ndarray, b: float) -> np.ndarray:
         by_word = np.bincount(self.word_of, weights=w[self.word_feature], minlength=int(self.ids.max(initial=-1)) + 1)
@@ -284,8 +289,8 @@ def _descend(bags: Bags, y: np.ndarray, weight: np.ndarray, epochs: int, rate: f
 def fit_fold(texts: list[str], y: np.ndarray, weight: np.ndarray, watch: dict[str, str], k: int, epochs: int = 60, rate: float = 0.25, l2: float = 3e-6) -> tuple[np.ndarray, float]:
     """Weights and bias of the model of fold ``k``, which has not seen the labels of the texts of that fold."""
     opened = [open_text(t) for t in texts]
-    fold = np.array([fold_of(t, FOLDS) for t in opened])
-    return _descend(Bags(opened, watch), y, weight * (fold != k), epochs, rate, l2)
+    seen = [i for i, t in enumerate(opened) if fold_of(t, FOLDS) != k]
+    return _descend(Bags([opened[i] for i in seen], watch), y[seen], weight[seen], epochs, rate, l2)
 
 
 def _one_per_task(spark: SparkSession) -> list[int]:
