@@ -16,7 +16,7 @@ import unicodedata
 
 import numpy as np
 
-from annalist.llm.pii.tokens import BA, BP, IA, IP, LABELS, TOKEN, O, features, normal_address
+from annalist.llm.pii.tokens import BA, BP, IA, ID, IP, LABELS, PHONE, TOKEN, O, features, normal_address
 
 K = len(LABELS)
 OFFSETS = (-2, -1, 1, 2)
@@ -37,6 +37,8 @@ EXTENT = SEED = 1e-6
 BLOCK = 1 << 17
 #: The kind of item of each label: a message gives the labels of one kind the same.
 KIND = np.array([0, 1, 2, 3, 4, 4, 5, 5])
+#: Labels that a token may have whose training label is open.
+OPEN = {-1: [O, PHONE], -2: [O, BP, IP], -3: [O, ID]}
 
 
 
@@ -325,14 +327,29 @@ def _expect(x: np.ndarray, size: np.ndarray, e: np.ndarray) -> tuple[np.ndarray,
     return p, pairs
 
 
+#: Share of the words around tokens, and of the words that tokens are, that training leaves out at random in each pass.
+BLIND, MUTE = 0.8, 0.1
+
+
 def train(texts: list[str], labels: list[np.ndarray], given: frozenset[str], epochs: int = 20, rate: float = 0.3, l2: float = 1e-5, batch: int = 128, seed: int = 7) -> Model:
     """Weights by the likelihood of the chains with Adagrad; skip edges are conditioned on the true labels of the equal
-    tokens of a text, which keeps training exact along each chain."""
+    tokens of a text, which keeps training exact along each chain.
+
+    In each pass many words are left out at random, so that what a token looks like and the kinds of its neighbours have to
+    carry its label, and not the sentence it stands in.
+
+    Negative labels leave a token open among those of ``OPEN``: the likelihood is then that of all ways to fill them in.
+    """
     order = np.argsort([len(y) for y in labels], kind="stable")
     order = [int(i) for i in order if len(labels[i])]
     texts, labels = [texts[i] for i in order], [labels[i] for i in order]
     tokens, doc, _ = tokenize(texts)
     y = np.concatenate(labels).astype(np.int64)
+    # Labels that each token may have.
+    may = np.zeros((len(y), K), dtype=bool)
+    may[np.flatnonzero(y >= 0), y[y >= 0]] = True
+    for sign, kinds in OPEN.items():
+        may[np.ix_(y == sign, kinds)] = True
     own: dict[str, int] = {}
     keys: dict[str, int] = {"<rare>": 0, "<edge>": 1}
     seen: dict[str, tuple[list[str], str]] = {}
@@ -365,17 +382,20 @@ def train(texts: list[str], labels: list[np.ndarray], given: frozenset[str], epo
         ok = (j >= 0) & (j < n)
         ok[ok] &= doc[j[ok]] == doc[np.flatnonzero(ok)]
         near[k][ok] = key[j[ok]]
+    # The last row of each table of weights stands for what is left out and stays 0.
+    word_key = np.array([k[:1].isalpha() for k in keys] + [False])
+    word_own = np.array([f.startswith(("w=", "s3=", "s4=", "p3=", "groups=")) for f in own] + [False])
     others = np.zeros((n, 6))
     if (groups := m._groups(types, doc)) is not None:
         member, g, size = groups
-        one = np.eye(6)[KIND[y[member]]]
+        one = np.where(y[member] >= 0, 1.0, 0.0)[:, None] * np.eye(6)[KIND[np.maximum(y[member], 0)]]
         total = np.stack([np.bincount(g, weights=one[:, k]) for k in range(6)], axis=1)
         others[member] = (total[g] - one) / (size[g] - 1)[:, None]
     mates = others[:, KIND]
     lengths = np.array([len(x) for x in labels])
     firsts = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     w_own = np.zeros((len(own) + 1, K))
-    w_key, trans, skip = np.zeros((len(OFFSETS), len(keys), K)), np.zeros((K, K)), 0.5
+    w_key, trans, skip = np.zeros((len(OFFSETS), len(keys) + 1, K)), np.zeros((K, K)), 0.5
     h_own, h_key, h_trans, h_skip = (np.full(x.shape, 1e-2) for x in (w_own, w_key, trans, np.zeros(1)))
     rng = np.random.default_rng(seed)
     blocks = [np.arange(i, min(i + batch, len(labels))) for i in range(0, len(labels), batch)]
@@ -387,34 +407,48 @@ def train(texts: list[str], labels: list[np.ndarray], given: frozenset[str], epo
             live = np.arange(length)[None, :] < size[:, None]
             at = np.where(live, firsts[rows][:, None] + np.arange(length), 0)
             flat = at[live]
-            s = w_own[ids[types[flat]]].sum(axis=1)
+            mine = ids[types[flat]]
+            mine = np.where(word_own[mine] & (rng.random(len(flat)) < MUTE)[:, None], dummy, mine)
+            s = w_own[mine].sum(axis=1)
+            around = near[:, flat]
+            around = np.where(word_key[around] & (rng.random(around.shape) < BLIND), len(keys), around)
             for k in range(len(OFFSETS)):
-                s += w_key[k][near[k][flat]]
+                s += w_key[k][around[k]]
             s += skip * mates[flat]
             x = np.zeros((len(rows), length, K))
             x[live] = s
             p, pairs = _expect(x, size, np.exp(np.where(FORBIDDEN, -60.0, trans)))
-            g = (np.eye(K)[y[flat]] - p[live]) / len(rows)
-            feats = ids[types[flat]].ravel()
+            # Expectations under the labels that are given: counts where all are, else those of the ways to fill them in.
+            want, true = np.eye(K)[np.maximum(y[flat], 0)], np.zeros((K, K))
+            yy = np.where(live, y[at], O)
+            shut = (yy >= 0).all(axis=1)
+            if not shut.all():
+                some = np.flatnonzero(~shut)
+                z = x[some] - 60.0 * ~may[at[some]]
+                q, true = _expect(z, size[some], np.exp(np.where(FORBIDDEN, -60.0, trans)))
+                filled = np.zeros_like(p)
+                filled[some] = q
+                want = np.where((~shut)[np.nonzero(live)[0]][:, None], filled[live], want)
+            both = (live[:, 1:] & live[:, :-1])[shut]
+            np.add.at(true, (yy[shut, :-1][both], yy[shut, 1:][both]), 1.0)
+            true[O] += np.bincount(yy[shut, 0], minlength=K)
+            true[:, O] += np.bincount(yy[shut, (size - 1)[shut]], minlength=K)
+            g = (want - p[live]) / len(rows)
+            feats = mine.ravel()
             grad = np.stack([np.bincount(feats, weights=np.repeat(g[:, c], width), minlength=len(w_own)) for c in range(K)], axis=1) - l2 * w_own
             grad[dummy] = 0
             h_own += grad**2
             w_own += rate * grad / np.sqrt(h_own)
             for k in range(len(OFFSETS)):
-                grad = np.stack([np.bincount(near[k][flat], weights=g[:, c], minlength=len(keys)) for c in range(K)], axis=1) - l2 * w_key[k]
+                grad = np.stack([np.bincount(around[k], weights=g[:, c], minlength=len(keys) + 1) for c in range(K)], axis=1) - l2 * w_key[k]
+                grad[-1] = 0
                 h_key[k] += grad**2
                 w_key[k] += rate * grad / np.sqrt(h_key[k])
-            true = np.zeros((K, K))
-            yy = np.where(live, y[at], -1)
-            both = live[:, 1:] & live[:, :-1]
-            np.add.at(true, (yy[:, :-1][both], yy[:, 1:][both]), 1.0)
-            true[O] += np.bincount(yy[:, 0], minlength=K)
-            true[:, O] += np.bincount(yy[np.arange(len(rows)), size - 1], minlength=K)
             grad = np.where(FORBIDDEN, 0.0, (true - pairs) / len(rows))
             h_trans += grad**2
             trans = np.clip(trans + rate * grad / np.sqrt(h_trans), -CLIP, CLIP)
             gs = float((g * mates[flat]).sum())
             h_skip += gs * gs
             skip = float(np.clip(skip + rate * gs / np.sqrt(h_skip[0]), 0.0, CLIP))
-    m.w_own, m.w_key, m.trans, m.skip = w_own[:-1].astype(np.float32), w_key.astype(np.float32), trans.astype(np.float32), np.float32(skip)
+    m.w_own, m.w_key, m.trans, m.skip = w_own[:-1].astype(np.float32), w_key[:, :-1].astype(np.float32), trans.astype(np.float32), np.float32(skip)
     return m.prepare()

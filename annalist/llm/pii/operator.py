@@ -13,12 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm.pii import crf, weak
-from annalist.llm.pii.tokens import BA, BP, EMAIL, IA, ID, IP, PARTICLES, PHONE, STREET_ENDS, STREETS, TITLES, email_parts, shared_mailbox
+from annalist.llm.pii.tokens import ARTICLES, BA, BP, EMAIL, IA, ID, IP, PARTICLES, PHONE, STREETS, TITLES, email_parts, shared_mailbox
 from annalist.session import ship
 
 #: The model is fitted on at most this many texts, chosen by the hash of their row.
 TRAIN_TEXTS = 5_000
 TRAIN_AUTHORS = 2_500
+#: Longest piece of a text in the sample.
+PIECE = 4_000
 BATCH = 2_000
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "person": "[PERSON]"}
 
@@ -32,8 +34,10 @@ def texts(events: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def _sample(df: DataFrame, text: str, n: int) -> list[str]:
-    d = df.where(F.col(text).isNotNull() & (F.length(text) < 4000)).select(F.xxhash64("row_id", F.lit(5)).alias("h"), F.col(text).alias("t"))
-    return [r["t"] for r in d.orderBy("h", "t").limit(n).collect()]
+    """At most ``n`` pieces of at most PIECE characters, by hash: every text takes part, a long one with several pieces."""
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"(?s).{{1,{PIECE}}}(?=\s|\z)|\S{{{PIECE}}}"), F.lit(0))
+    d = df.where(F.col(text).isNotNull()).select("row_id", F.posexplode(F.when(F.length(text) <= PIECE, F.array(F.col(text))).otherwise(pieces)).alias("k", "t"))
+    return [r["t"] for r in d.select(F.xxhash64("row_id", "k", F.lit(5)).alias("h"), "t").orderBy("h", "t").limit(n).collect()]
 
 
 def given_names(commits: DataFrame) -> frozenset[str]:
@@ -62,7 +66,8 @@ def fit(events: DataFrame, commits: DataFrame) -> crf.Model | None:
     if not chosen:
         return None
     given = given_names(commits)
-    return crf.train(chosen, [weak.label(t, given) for t in chosen], given)
+    evident = weak.evident_shapes(chosen)
+    return crf.train(chosen, [weak.label(t, given, evident) for t in chosen], given)
 
 
 def _exact(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None:
@@ -97,6 +102,16 @@ def _exact(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None
             words = re.findall(r"[^\W\d_]+", text[start:end])
         return (start, end) if len(words) >= 2 and sum(len(w) > 1 for w in words) >= 1 else None
     x = text[start:end]
+    if x[:1].isdigit():
+        # Behind a house number the street ends with the word for its kind, unless it begins with it.
+        kinds = [w for w in re.finditer(r"[^\W\d_]+", x) if w[0].lower() in STREETS]
+        if kinds and kinds[0].start() > len(re.match(r"\d+[A-Za-z]?\s*", x)[0]):
+            rest = re.match(r"\.?(?: (?:[NSEW]|NE|NW|SE|SW)\b)?", x[kinds[-1].end() :])
+            end = start + kinds[-1].end() + len(rest[0])
+            x = text[start:end]
+    if (words := re.findall(r"[^\W\d_]+", x)) and words[-1].lower() in ARTICLES and (m := re.match(r"\s+(?:[a-z]{1,3}[ '’]\s*)*[^\W\d_a-z][\w'’-]*(?: [^\W\d_a-z][\w'’-]*)*", text[end:])):
+        end += len(m[0])  # a street does not end with an article
+        x = text[start:end]
     short = re.search(r"(?i)\b(?:st|ave|rd|blvd|ln|dr|ct|pl|sq)\.$", x)
     while end > start and not text[end - 1].isalnum() and not (short and text[end - 1] == "."):
         end -= 1
@@ -105,7 +120,7 @@ def _exact(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None
     x = text[start:end].lower()
     if re.search(r"[^\W\d_]{4,}[.!?;] ", x):
         return None  # it runs over the end of a sentence
-    return (start, end) if re.search(r"\d", x) and (set(re.findall(r"[^\W\d_]+", x)) & STREETS or any(w.endswith(STREET_ENDS) for w in re.findall(r"[^\W\d_]+", x))) else None
+    return (start, end) if re.search(r"\d", x) and re.search(r"[^\W\d_]{2}", x) else None
 
 
 def spans(model: crf.Model, batch: list[str]) -> Iterator[tuple[int, str, int, int]]:

@@ -17,7 +17,7 @@ _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sDOT\s|\s?\{dot\}\s?)"
 _LOCAL = r"[\w.+'’-]{1,80}+"
 TOKEN = re.compile(
     r"\s*+(?:"
-    rf"(?<![\w.+'’-]){_LOCAL}{_AT}[\w-]{{1,63}}+(?:{_DOT}[A-Za-z0-9][\w-]{{0,62}}+){{1,6}}"
+    rf"(?<![\w.+'’-]){_LOCAL}{_AT}[\w-]{{1,63}}+(?:{_DOT}[A-Za-z0-9][\w-]{{0,62}}+){{1,126}}"
     # codes of letters and digits, single groups joined by spaces where the letters stand at the ends
     r"|(?<!\w)[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D](?!\w)|(?<!\w)\d{7,8}[ -]?[A-Z](?!\w)"
     # a number of groups of digits, each joined by one or two signs
@@ -38,6 +38,8 @@ STREETS = frozenset(
     "street st road rd avenue ave lane ln close terrace crescent mews boulevard blvd drive way court ct place pl square sq row walk hill gardens grove parade quay rue allée impasse chemin quai calle avenida plaza paseo camino via viale piazza corso".split()
 )
 STREET_ENDS = ("straße", "strasse", "weg", "gasse", "allee", "platz", "damm", "ufer", "ring", "straat", "laan", "gade", "gatan")
+# Articles and prepositions inside the names of streets.
+ARTICLES = frozenset("de des du la le les del los las el della dei".split())
 # Words that lead in identity numbers.
 ID_WORDS = frozenset("ssn ssn: soc sec social security national insurance nino ni nin tin tax passport licence license driving ausweis ausweis-nr identity dni nif nie card personalausweis steuer-id id".split())
 # Those of them that are common words elsewhere.

@@ -2,7 +2,10 @@
 
 The rules only teach the field model; they never label the corpus.  They lean on evidence that most texts lack (an
 address beside a name, a word that announces a number), so that the model has to carry what it learns about words,
-shapes and neighbours over to the texts without such evidence.
+shapes and neighbours over to the texts without such evidence.  No rule knows a sentence: what announces a number are
+words for phones and papers, and a shape that they announce in a good part of its occurrences is of that kind in the others
+too.  Where a rule cannot tell, it abstains instead of saying O: a number whose shape is announced now and then, and an
+initial with a family name without a word that leads to a person.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from annalist.llm.pii.crf import tokenize
 from annalist.llm.pii.tokens import BA, BP, EMAIL, IA, ID, ID_WORDS, IP, PARTICLES, PHONE, PHONE_WORDS, STREET_ENDS, STREETS, email_parts, shared_mailbox
 
 _NAME = re.compile(r"^\W*([^\W\d_]{2,})((?: [a-z]{2,3}){0,2}) ([^\W\d_][\w'’-]+)\s*<([^<>@\s]+)@", re.UNICODE)
+COMPASS = frozenset("N S E W NE NW SE SW".split())
 _PLAIN = str.maketrans("áàâäãåéèêëíìîïóòôöõøúùûüñçğşıłßýÿ", "aaaaaaeeeeiiiioooooouuuuncgsilsyy")
 ID_SHAPES = re.compile(
     r"\d{3}[ -]\d{2}[ -]\d{4}|\d{2} \d{3} \d{3} \d{3}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|\d{7,8}[ -]?[A-Z]|[A-Z]\d{7,8}|[A-Z]\d\d[A-Z]\d\d[A-Z]\d\d|[A-Z]{2,5}\d{6,9}[A-Z0-9]{3,8}|\d{11}"
@@ -54,8 +58,56 @@ def _family(t: str) -> bool:
     return _word(t) and len(t) > 2 and t.lower() not in PARTICLES
 
 
-def label(text: str, given: frozenset[str]) -> np.ndarray:
-    """Labels of the tokens of one text by the rules."""
+#: Labels that say little: the token may be a phone number or none, part of a person's name or not, an identity number or none.
+MAYBE_PHONE, MAYBE_NAME, MAYBE_ID = -1, -2, -3
+#: From these shares of announced occurrences on, the others of a shape are of that kind, or left open.
+EVIDENT, POSSIBLE = 0.25, 0.05
+_STOPS, _SHORT = frozenset(".!?;"), frozenset("no nr num tel ph sec soc mob mr dr".split())
+_LEAD = frozenset("to by from with cc dr for and -- = . , : ; ( [".split())
+
+
+def number_shape(t: str) -> str:
+    return re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", t)))
+
+
+def announced(tokens: list[str], low: list[str], i: int) -> tuple[bool, bool]:
+    """Whether a token of digits is announced as an identity number, and whether as a phone number, by one of the five
+    tokens before it in its sentence."""
+    t, k = tokens[i].strip(), i
+    while k > max(0, i - 5) and "\n" not in tokens[k][: len(tokens[k]) - len(tokens[k].lstrip())] and not (low[k - 1] in _STOPS and not (low[k - 1] == "." and k > 1 and low[k - 2] in _SHORT)):
+        k -= 1
+    before = set(low[k:i])
+    papers = bool(before & ID_WORDS)
+    return papers and ID_SHAPES.fullmatch(t) is not None, not papers and PHONE_SHAPES.fullmatch(t) is not None and 8 <= sum(c.isdigit() for c in t) <= 15 and (bool(before & PHONE_WORDS) or t[0] == "+")
+
+
+def evident_shapes(texts: list[str]) -> dict[str, int]:
+    """Label of the unannounced occurrences of each shape of numbers that is announced now and then."""
+    papers: Counter[str] = Counter()
+    phones: Counter[str] = Counter()
+    all_: Counter[str] = Counter()
+    for x in texts:
+        tokens = tokenize([x])[0]
+        t = [a.strip() for a in tokens]
+        low = [a.lower() for a in t]
+        for i, a in enumerate(t):
+            if any(c.isdigit() for c in a) and not email_parts(a):
+                s = number_shape(a)
+                all_[s] += 1
+                is_id, is_phone = announced(tokens, low, i)
+                papers[s] += is_id
+                phones[s] += is_phone
+    out = {}
+    for s, n in all_.items():
+        most = max(papers[s], phones[s])
+        if most >= POSSIBLE * n:
+            is_id = papers[s] == most
+            out[s] = (ID if is_id else PHONE) if most >= EVIDENT * n else MAYBE_ID if is_id else MAYBE_PHONE
+    return out
+
+
+def label(text: str, given: frozenset[str], evident: dict[str, int] | None = None) -> np.ndarray:
+    """Labels of the tokens of one text by the rules; negative ones where they abstain."""
     tokens, _, _ = tokenize([text])
     t = [x.strip() for x in tokens]
     low = [x.lower() for x in t]
@@ -73,15 +125,11 @@ def label(text: str, given: frozenset[str]) -> np.ndarray:
     for i in range(n):
         if not re.search(r"\d", t[i]) or y[i]:
             continue
-        before = set(low[max(0, i - 5) : i])
-        digits = sum(c.isdigit() for c in t[i])
-        cue_id = before & ID_WORDS
-        if ID_SHAPES.fullmatch(t[i]) and (cue_id or {"leaked", "value"} <= before or {"row", "for"} <= before or {"dump", "shows"} <= before or (i > 1 and t[i - 1] == ";" and "dump" in low)):
-            y[i] = ID
-        elif PHONE_SHAPES.fullmatch(t[i]) and 8 <= digits <= 15 and not cue_id and (before & PHONE_WORDS or t[i][0] == "+" or "callback" in low[i : i + 4] or {"opened", "from"} <= before or (i + 1 < n and t[i + 1] == "|" and i + 2 < n and email_parts(t[i + 2])) or (i > 1 and low[i - 1] == "(" and _word(t[i - 2]))):
-            y[i] = PHONE
-        elif PHONE_SHAPES.fullmatch(t[i]) and 9 <= digits <= 15 and re.match(r"\(\d{3}\)|0\d|00\d", t[i]) and not cue_id and i > 1 and _word(t[i - 1]) is True and "(" == t[i][0]:
-            y[i] = PHONE
+        is_id, is_phone = announced(tokens, low, i)
+        if is_id or is_phone:
+            y[i] = ID if is_id else PHONE
+        elif evident:
+            y[i] = evident.get(number_shape(t[i]), 0)
     # addresses
     for i in range(n):
         house = re.fullmatch(r"\d{1,4}[A-Za-z]?", t[i])
@@ -89,7 +137,8 @@ def label(text: str, given: frozenset[str]) -> np.ndarray:
             continue
         j = i + 1
         words = []
-        while j < n and len(words) < 5 and (_word(t[j]) or (t[j] == "." and words and len(words[-1]) <= 2)):
+        # A point may stand behind a compass point.
+        while j < n and len(words) < 5 and (_word(t[j]) or (t[j] == "." and t[j - 1] in COMPASS)):
             if t[j] != ".":
                 words.append(low[j])
             j += 1
@@ -133,8 +182,10 @@ def label(text: str, given: frozenset[str]) -> np.ndarray:
             j = i + 2
             while j < n and low[j] in PARTICLES:
                 j += 1
-            cue = i == 0 or low[i - 1] in ("to", "by", "from", "with", "customer", "=", "--", "cc", ".", "dr")
-            if j < n and _family(t[j]) and t[j][:1].isupper() and cue and low[j] not in STREETS and not (j + 1 < n and low[j + 1] in STREETS):
-                take(i, j + 1, BP, IP)
+            if j < n and _family(t[j]) and t[j][:1].isupper() and low[j] not in STREETS and not (j + 1 < n and low[j + 1] in STREETS):
+                if i == 0 or low[i - 1] in _LEAD:
+                    take(i, j + 1, BP, IP)
+                else:
+                    take(i, j + 1, MAYBE_NAME, MAYBE_NAME)
         i += 1
     return y

@@ -63,6 +63,63 @@ def test_items_are_found_and_replaced(spark, corpus):
     assert all(line in new for line in kept) and "[" in new
 
 
+def _held_out(rng):
+    """A text of sentence patterns and names of which none is in ``_text``, and its items."""
+    g, f = rng.choice(GIVEN), rng.choice(["Harbeck", "Sorrelmann", "Quistgaard", "Penhaligon"])
+    name, mail = f"{g} {f}", f"{g[0].lower()}.{f.lower()}@post.example"
+    phone = rng.choice(["+49 40 99881 113", "(312) 555-0188", "020 7946 0411", "+13125550132"])
+    ident, addr = rng.choice(["AB 12 34 56 C", "123 45 6789", "K1234567", "87654321-B"]), rng.choice(["7 Heron Terrace", "44 Alder Lane", "Lindenweg 9", "3 rue des Saules Verts"])
+    parts = [
+        (f"{name} wrote the runbook and {mail} is the address on file.", [("person", name), ("email", mail)]),
+        (f"On the whiteboard: {phone} / ask before noon", [("phone", phone)]),
+        (f"* customer record, {ident}, was pasted into the ticket", [("id_number", ident)]),
+        (f"Parcel sent to {addr} last week", [("address", addr)]),
+        (f"We thank {name} for the report", [("person", name)]),
+    ]
+    chosen = rng.sample(parts, 2)
+    lines = [c[0] for c in chosen] + rng.sample(FILLER, 2)
+    rng.shuffle(lines)
+    return "\n".join(lines), {i for c in chosen for i in c[1]}
+
+
+def test_recall_on_sentence_patterns_that_the_labels_never_saw(monkeypatch):
+    """The model is fitted on the texts of the tables and reads sentences of other patterns; nine of ten items are found."""
+    import sys
+
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/event_log.parquet", columns=["body", "summary"]).to_pylist()[: operator.TRAIN_TEXTS]
+    texts = ["\n".join(x for x in (r["body"], r["summary"]) if x) for r in table]
+    authors = pq.read_table("/root/testdata/sf0.1/commits.parquet", columns=["author"])["author"].to_pylist()[: operator.TRAIN_AUTHORS]
+    given = weak.given_names([a for a in authors if a], [])
+    chosen = [t for t in texts + authors if t]
+    evident = weak.evident_shapes(chosen)
+    model = crf.train(chosen, [weak.label(t, given, evident) for t in chosen], given)
+    monkeypatch.setattr(sys.modules[__name__], "GIVEN", [g.title() for g in sorted(given)][:12])
+    rng = random.Random(23)
+    new = [_held_out(rng) for _ in range(300)]
+    got = {(i, kind, new[i][0][a:b]) for i, kind, a, b in operator.spans(model, [t for t, _ in new])}
+    want = {(i, *x) for i, (_, items) in enumerate(new) for x in items}
+    by_kind = {k: sum(w in got for w in want if w[1] == k) / sum(w[1] == k for w in want) for k in ("person", "email", "phone", "id_number", "address")}
+    assert len(got & want) / len(want) >= 0.9, by_kind
+    assert len(got & want) / len(got) >= 0.9, sorted(got - want)[:8]
+
+
+def test_open_labels_count_all_ways_to_fill_them_in():
+    given = frozenset(["mara"])
+    texts = ["Call 020 7946 0299 now", "Number 020 7946 0411 stands here", "Build 735177281 passed"] * 20
+    y = [weak.label(t, given, {"999 9999 9999": weak.MAYBE_PHONE}) for t in texts]
+    assert (y[1] == weak.MAYBE_PHONE).sum() == 1 and (y[0] == PHONE).sum() == 1 and not y[2].any()
+    model = crf.train(texts, y, given, epochs=10)
+    assert [(k, "Call 020 7946 0411"[a:b]) for _, k, a, b in operator.spans(model, ["Call 020 7946 0411"])] == [("phone", "020 7946 0411")]
+
+
+def test_long_texts_take_part_in_the_sample(spark):
+    d = spark.createDataFrame([(1, "short"), (2, "word " * 3000), (3, "x" * 9000), (4, None)], "row_id long, t string")
+    got = operator._sample(d, "t", 100)
+    assert "short" in got and max(map(len, got)) <= operator.PIECE and sum(x.count("word") for x in got) == 3000 and sum(x.count("x") for x in got) == 9000
+
+
 def test_empty_tables(spark):
     assert operator.found(frame(spark, "event_log", []), frame(spark, "commits", [])).collect() == []
     assert operator.redacted(frame(spark, "event_log", []), frame(spark, "commits", [])).collect() == []
