@@ -73,11 +73,20 @@ def lint(c: Column) -> Column:
     return F.filter(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in LINTS.items()]), lambda x: x.isNotNull())
 
 
+def with_margin(n: Column) -> Column:
+    """Size estimate of a text of so many ``token_runs``."""
+    return F.greatest(F.lit(1).cast("bigint"), F.floor(n * F.lit(TOKEN_MARGIN)).cast("bigint"))
+
+
 def estimate_tokens(c: Column) -> Column:
     """Size estimate: a third of each run of letters or digits, rounded up, one per other sign, a fifth on top."""
+    return with_margin(token_runs(c))
+
+
+def token_runs(c: Column) -> Column:
+    """The estimate without its margin, which adds up over the lines of a text."""
     runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([A-Za-z]+|[0-9]+|[^\sA-Za-z0-9])"), 1)
-    n = F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + F.when(r.rlike("^[A-Za-z0-9]"), F.ceil(F.length(r) / 3)).otherwise(1).cast("bigint"))
-    return F.greatest(F.lit(1).cast("bigint"), F.floor(n * F.lit(TOKEN_MARGIN)).cast("bigint"))
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda a, r: a + F.when(r.rlike("^[A-Za-z0-9]"), F.ceil(F.length(r) / 3)).otherwise(1).cast("bigint"))
 
 
 def clip(c: Column, width: int = 62) -> Column:

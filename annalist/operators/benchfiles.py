@@ -21,7 +21,7 @@ def questions(files: DataFrame) -> DataFrame:
     d = files.select("path", block.alias("b")).withColumn("head", F.regexp_extract("b", r"^## +([A-Za-z]+\d+)", 1)).where("head <> ''")
     quoted = F.regexp_extract("b", r"(?m)((?:^>.*\n?)+)", 1)
     prompt = F.btrim(F.regexp_replace(quoted, r"(?m)^>[ ]?", ""), F.lit(" \n"))
-    field = lambda name: F.btrim(F.regexp_replace(F.regexp_extract("b", rf"(?is)\*\*{name}:?\*\*:?\s*(.*?)(?=\n\s*\n|\n\*\*|\n#|\z)", 1), r"\s+", " "))
+    field = lambda name: F.btrim(F.regexp_replace(F.regexp_extract("b", rf"(?is)\*\*{name}:?\*\*:?[ \t]*(?:\n(?=[^\s*#]))?(.*?)(?=\n\s*\n|\n\*\*|\n#|\z)", 1), r"\s+", " "))
     items = lambda name: F.transform(F.regexp_extract_all(F.regexp_extract("b", rf"(?is)\*\*{name}:?\*\*:?\s*\n(.*?)(?=\n\*\*|\n#|\z)", 1), F.lit(r"(?ms)^[-*] +(.*?)(?=^[-*] |\z)"), 1), lambda x: F.btrim(F.regexp_replace(x, r"\s+", " ")))
     gold = field("gold")
     return d.select("path", F.col("head").alias("qid"), F.btrim(F.regexp_extract("b", r"^## +[A-Za-z]+\d+[.:]? *(.*)", 1)).alias("title"), prompt.alias("prompt"), gold.alias("gold"), field("trap").alias("trap"), items("required").alias("required"), items("forbidden").alias("forbidden"), F.lower(field("abstain")).isin("yes", "true").alias("abstain"), ((prompt != "") & (gold != "")).alias("usable"))

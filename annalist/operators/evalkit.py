@@ -113,7 +113,8 @@ def iteration_stats(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
     A canonical verdict of correct means turn 1, whatever the run recorded.  Excluded runs never count.
     """
-    d = runs.where(~F.col("status").isin(*EXCLUDED)).join(verdicts.select("qid", "arm", "accuracy"), ["qid", "arm"], "left")
+    needed = ("qid", "arm", "status", "turns_to_correct", "seconds_to_correct", "single_shot", "nudges_sent", "wall_clock_turn1_s")
+    d = runs.select(*needed).where(~F.coalesce(F.col("status").isin(*EXCLUDED), F.lit(False))).join(verdicts.select("qid", "arm", "accuracy"), ["qid", "arm"], "left")
     fixed = F.coalesce(F.col("accuracy") == "correct", F.lit(False))
     d = d.withColumn("turns", F.when(fixed, 1).otherwise(F.col("turns_to_correct"))).withColumn("secs", F.when(fixed & (F.coalesce("turns_to_correct", F.lit(0)) != 1), F.col("wall_clock_turn1_s")).otherwise(F.col("seconds_to_correct")))
     multi, hit = ~F.coalesce("single_shot", F.lit(False)), F.coalesce(F.col("turns") > 0, F.lit(False))

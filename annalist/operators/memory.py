@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.functions.text import estimate_tokens, slugify
+from annalist.functions.text import TOKEN_MARGIN, estimate_tokens, slugify, token_runs
 from annalist.functions.timestamps import with_instant
 from annalist.operators.skew import join_unique
+from annalist.session import cut
 
 # Fixed values of the score.
 WEIGHTS = {"recency": 0.4, "impact": 0.3, "domain": 0.2, "access": 0.1}
@@ -19,6 +20,9 @@ DROP_FACTS = ("extensions", "adapter")
 FACT_KEEP = 2
 CITES = 2
 BUDGET = int(0.25 * 200_000)
+INLINE_WIDTH, SAMPLES_KEEP, SAMPLE_WIDTH = 72, 3, 60
+#: Token runs of the two lines above the topology.
+TOPOLOGY_HEAD = 6
 _FETCH = 10_000
 
 
@@ -124,16 +128,16 @@ def topology(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return d
 
 
-def legend(entities: DataFrame, log: DataFrame, relations: DataFrame | None = None) -> DataFrame:
+def legend(entities: DataFrame, log: DataFrame, relations: DataFrame | None = None, chosen: bool = False) -> DataFrame:
     """Citations that are carried twice or more by entities and, where ``relations`` are given, by those that connect
     two services or externals among the entities.
 
-    Numbered by the smallest entity that carries them; those that only relations carry come after, by the smallest of
+    ``chosen`` says that the relations are the topology already.  Numbered by the smallest entity that carries them; those that only relations carry come after, by the smallest of
     these.
     """
     c = citations(entities).select("event_id", F.lit(False).alias("rel"), F.col("id").alias("first"))
     if relations is not None:
-        c = c.unionByName(topology(relations, entities).select(F.col("provenance").alias("event_id"), F.lit(True).alias("rel"), F.concat_ws(" ", "source", "predicate", "target").alias("first")))
+        c = c.unionByName((relations if chosen else topology(relations, entities)).select(F.col("provenance").alias("event_id"), F.lit(True).alias("rel"), F.concat_ws(" ", "source", "predicate", "target").alias("first")))
     n = c.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rel", "first")).alias("f")).where("n >= 2")
     n = n.join(log.select(F.col("id").alias("event_id")), "event_id", "left_semi").select("event_id", "n", "f.*")
     # Numbered chunk by chunk of equal beginnings with carried totals, so that no task orders all citations.
@@ -153,6 +157,93 @@ def trimmed_facts(entities: DataFrame) -> DataFrame:
     return f.where(F.col("nth") <= FACT_KEEP).select("id", "key", "nth", "fact", F.greatest(F.col("n") - FACT_KEEP, F.lit(0)).alias("more"))
 
 
+def citation() -> Column:
+    """How an event of the log is cited: id, day and title."""
+    return F.concat("id", F.lit(" ("), F.substring("ts", 1, 10), F.lit(") "), "title")
+
+
+def _cited(entities: DataFrame, log: DataFrame, tags: DataFrame | None) -> DataFrame:
+    """Adds ``marks`` (tags of the legend) and ``cites`` (citations without a tag) of the last two events of each entity."""
+    told = log.select(F.col("id").alias("event_id"), citation().alias("cite"))
+    c = citations(entities).join(told, "event_id")
+    c = c.join(tags.select("event_id", "tag"), "event_id", "left") if tags is not None else c.withColumn("tag", F.lit(None).cast("bigint"))
+    # Two rows per entity at most.
+    c = c.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "tag", "cite"))).alias("c"))
+    marks = F.array_join(F.transform(F.filter("c", lambda x: x["tag"].isNotNull()), lambda x: F.concat(F.lit("[c"), x["tag"].cast("string"), F.lit("]"))), "")
+    rest = F.transform(F.filter("c", lambda x: x["tag"].isNull()), lambda x: x["cite"])
+    none = F.array().cast("array<string>")
+    return entities.join(c.select("id", marks.alias("marks"), rest.alias("cites")), "id", "left").withColumns({"marks": F.coalesce("marks", F.lit("")), "cites": F.coalesce("cites", none)})
+
+
+def trimmed_samples(fact: Column) -> Column:
+    """A list of samples behind its key, cut to three of sixty characters."""
+    key, rest = F.split_part(fact, F.lit(":"), F.lit(1)), F.substring(fact, F.locate(":", fact) + 1, F.length(fact))
+    items = F.filter(F.transform(F.split(F.when(F.locate(":", fact) > 0, rest).otherwise(""), ";"), lambda x: F.substring(F.btrim(x), 1, SAMPLE_WIDTH)), lambda x: x != "")
+    return F.concat(key, F.lit(": "), F.array_join(F.slice(items, 1, SAMPLES_KEEP), "; "))
+
+
+def map_blocks(entities: DataFrame, log: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """``id``, ``block``: an entity of the map with its facts (two per key, short ones on one line) and citations."""
+    none = F.array().cast("array<string>")
+    d = _cited(entities, log, tags).withColumn("f", F.filter(F.coalesce("key_facts", none), lambda x: x.isNotNull()))
+    d = d.withColumn("f", F.transform("f", lambda x: F.struct(F.lower(F.btrim(F.split_part(x, F.lit(":"), F.lit(1)))).alias("k"), x.alias("x"))))
+    d = d.withColumn("f", F.filter("f", lambda x: ~x["k"].isin(*DROP_FACTS))).withColumn("k", F.transform("f", lambda x: x["k"]))
+    kept = F.filter("f", lambda x, i: F.size(F.filter(F.slice(F.col("k"), F.lit(1), i + 1), lambda k: k == x["k"])) <= FACT_KEEP)
+    d = d.withColumn("kept", kept)
+    short = lambda x: (x["k"] != "samples") & (F.length(x["x"]) <= INLINE_WIDTH)
+    more = F.filter(F.transform(F.array_distinct("k"), lambda k: F.struct(k.alias("k"), (F.size(F.filter("k", lambda q: q == k)) - FACT_KEEP).alias("n"))), lambda x: x["n"] > 0)
+    inline = F.concat(F.transform(F.filter("kept", short), lambda x: x["x"]), F.transform(more, lambda x: F.concat(x["k"], F.lit(": +"), x["n"].cast("string"), F.lit(" more"))))
+    own = F.transform(F.filter("kept", lambda x: ~short(x)), lambda x: F.when(x["k"] == "samples", trimmed_samples(x["x"])).otherwise(x["x"]))
+    head = F.concat(F.lit("- **"), "id", F.lit("** ("), "type", F.when(F.col("impact") == "high", ", impact=high").otherwise(""), F.lit(")"), "marks", F.lit(": "), F.coalesce(F.nullif("description", F.lit("")), F.col("name")))
+    below = F.concat(F.when(F.col("summary") != "", F.array("summary")).otherwise(none), F.when(F.size(inline) > 0, F.array(F.array_join(inline, " | "))).otherwise(none), own, F.transform("cites", lambda x: F.concat(F.lit("cite: "), x)))
+    return d.select("id", F.array_join(F.concat(F.array(head), F.transform(below, lambda x: F.concat(F.lit("  - "), x))), "\n").alias("block"))
+
+
+def entity_blocks(entities: DataFrame, log: DataFrame) -> DataFrame:
+    """``id``, ``block``: an entity of the warm tier with its first three facts and last two citations."""
+    none = F.array().cast("array<string>")
+    d = _cited(entities, log, None)
+    head = F.concat(F.lit("- **"), "id", F.lit("** ("), "type", F.lit(", impact="), "impact", F.lit("): "), F.coalesce(F.nullif("description", F.lit("")), F.col("name")))
+    below = F.concat(F.when(F.col("summary") != "", F.array("summary")).otherwise(none), F.filter(F.slice(F.coalesce("key_facts", none), 1, 3), lambda x: x.isNotNull()), F.transform("cites", lambda x: F.concat(F.lit("cite: "), x)))
+    return d.select("id", F.array_join(F.concat(F.array(head), F.transform(below, lambda x: F.concat(F.lit("  - "), x))), "\n").alias("block"))
+
+
+def relation_rows(relations: DataFrame, log: DataFrame, tags: DataFrame) -> DataFrame:
+    """``source``, ``predicate``, ``target``, ``row``: a relation of the topology with its tag or its own citation."""
+    told = log.select(F.col("id").alias("provenance"), citation().alias("cite")).join(tags.select(F.col("event_id").alias("provenance"), "tag"), "provenance", "left")
+    d = relations.join(told, "provenance", "left")
+    mark = F.when(F.col("tag").isNotNull(), F.concat(F.lit("[c"), F.col("tag").cast("string"), F.lit("]"))).when(F.col("cite").isNotNull(), F.concat(F.lit("\n  - cite: "), "cite")).otherwise("")
+    return d.select("source", "predicate", "target", F.concat(F.lit("- **"), "source", F.lit("** "), "predicate", F.lit(" **"), "target", F.lit("**"), mark).alias("row"))
+
+
+def hot_map(scored: DataFrame, log: DataFrame, relations: DataFrame, distilled: DataFrame, budget: int = BUDGET, head: str = "") -> DataFrame:
+    """The map under a token budget: ``section``, ``key``, ``text``, ``kept``.
+
+    The legend of repeated citations (section 0) and open goals (1) always stand in it and count first.  Entities of the
+    map (2) enter in score order as far as they fit; those that do not are demoted.  The topology between services and
+    externals of the map (3) enters as a whole or not at all.  ``distilled`` has the ids only distillation knows.
+    """
+    goals = scored.where("type = 'goal' AND status = 'active'")
+    d = scored.join(distilled.select("id").distinct().withColumn("d", F.lit(True)), "id", "left").withColumn("d", F.coalesce("d", F.lit(False)))
+    mapped = cut(d.where(is_map_entity(F.col("d"))).drop("d"), "mapped")
+    both = goals.unionByName(mapped)
+    topo = topology(relations, mapped)
+    tags = cut(legend(both, log, topo, True), "tags")
+    cited = tags.join(log.select(F.col("id").alias("event_id"), citation().alias("cite")), "event_id").select(F.lit(0).alias("section"), "event_id", F.concat(F.lit("- [c"), F.col("tag").cast("string"), F.lit("] "), "cite").alias("text")).withColumnRenamed("event_id", "key")
+    always = cut(cited.unionByName(map_blocks(goals, log, tags).select(F.lit(1).alias("section"), F.col("id").alias("key"), F.col("block").alias("text"))), "always")
+    rows = cut(relation_rows(topo, log, tags).select(F.lit(3).alias("section"), F.concat_ws(" ", "source", "predicate", "target").alias("key"), F.col("row").alias("text")), "topology")
+    runs = lambda t: t.agg(F.coalesce(F.sum(token_runs(F.col("text"))), F.lit(0))).first()[0]
+    margin = lambda n: max(1, int(n * TOKEN_MARGIN))
+    first = margin(runs(always.unionByName(log.sparkSession.createDataFrame([(0, "", head)], "section int, key string, text string"))))
+    costed = mapped.join(map_blocks(mapped, log, tags), "id").select("id", "type", "score", "block", estimate_tokens(F.col("block")).alias("cost"))
+    filled = cut(fill(costed, budget - first), "filled")
+    used = first + (filled.where("kept").agg(F.coalesce(F.sum("cost"), F.lit(0))).first()[0])
+    n = runs(rows)
+    whole = n > 0 and used + margin(n + TOPOLOGY_HEAD) <= budget
+    out = filled.select(F.lit(2).alias("section"), F.col("id").alias("key"), F.col("block").alias("text"), "kept")
+    return always.withColumn("kept", F.lit(True)).unionByName(out).unionByName(rows.withColumn("kept", F.lit(whole)))
+
+
 def index_lines(scored: DataFrame, demoted: DataFrame | None = None) -> DataFrame:
     """One line per entity: tier (warm if demoted), id, type, mark of superseded ones, description or name."""
     d = scored

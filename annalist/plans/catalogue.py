@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from annalist.plans import core_problems, fold_queries, graph_queries, search_queries, source_queries, timeline_queries
+from annalist.plans import core_problems, fold_queries, graph_queries, search_queries, source_queries, timeline_queries, tool_queries
 
-_MODULES = (core_problems, search_queries, fold_queries, graph_queries, source_queries, timeline_queries)
+_MODULES = (core_problems, search_queries, fold_queries, graph_queries, source_queries, timeline_queries, tool_queries)
 
 
 def queries() -> dict:

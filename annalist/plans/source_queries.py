@@ -60,7 +60,7 @@ def x_incidents(s, d):
 
 
 def d_directories(s, d):
-    return D.directory_stats(_files(s, d).select("path")).select("dir", "here", "tree", "readmes", "depth")
+    return D.directory_stats(_files(s, d).select("path")).select("dir", "here", "tree", "readmes", "has_index", "depth")
 
 
 def d_candidates(s, d):
@@ -149,8 +149,9 @@ _STATUS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.STATUS.items())
 _OWN_STATUS = rf"CASE WHEN {_field('status')} <> '' THEN {_field('status')} ELSE trim(regexp_extract(t, '(?im)^#{{1,4}}\s+status\s*\n+([^\n#]+)', 1)) END"
 _DAY = rf"regexp_extract({_field('date')}, '(\d{{4}}-\d{{2}}-\d{{2}})', 1)"
 _UP = "list_concat(['.'], list_transform(range(1, len(string_split(path, '/'))), lambda n: array_to_string(string_split(path, '/')[:n], '/')))"
-_STATS = rf"""dirs AS (SELECT path, string_split(path, '/')[-1] AS name, unnest({_UP}) AS dir FROM f), stats AS (SELECT dir, sum(((name LIKE '%.md' OR name = 'README') AND (CASE WHEN dir = '.' THEN name = path ELSE dir || '/' || name = path END))::bigint)::bigint AS here, sum((name LIKE '%.md' OR name = 'README')::bigint)::bigint AS tree,
-  sum((name = 'README')::bigint)::bigint AS readmes, CASE WHEN dir = '.' THEN 0 ELSE len(string_split(dir, '/')) END::bigint AS depth FROM dirs GROUP BY dir)"""
+_SEEN = f"len(list_filter(string_split(path, '/')[:-2], lambda x: starts_with(x, '.') OR lower(x) IN {D.SKIP_DIRS})) = 0"
+_STATS = rf"""dirs AS (SELECT path, string_split(path, '/')[-1] AS name, unnest({_UP}) AS dir FROM f WHERE {_SEEN}), stats AS (SELECT dir, sum(((name LIKE '%.md' OR name = 'README') AND (CASE WHEN dir = '.' THEN name = path ELSE dir || '/' || name = path END))::bigint)::bigint AS here, sum((name LIKE '%.md' OR name = 'README')::bigint)::bigint AS tree,
+  sum((name = 'README')::bigint)::bigint AS readmes, bool_or(lower(name) IN {D.INDEX_FILES} AND (CASE WHEN dir = '.' THEN name = path ELSE dir || '/' || name = path END)) AS has_index, CASE WHEN dir = '.' THEN 0 ELSE len(string_split(dir, '/')) END::bigint AS depth FROM dirs GROUP BY dir)"""
 _CLASS = "CASE " + " ".join(f"WHEN replace(lower(string_split(dir, '/')[-1]), '_', '-') IN ({', '.join(repr(n) for n in names)}) THEN '{a}|{k}'" for a, k, _, names in D.KINDS) + " END"
 _BAN = "(" + " OR ".join(f"contains(lower(x), '{m}')" for m in D.GENERATED) + ")"
 _STRONG = "(" + " OR ".join(f"contains(lower(x), '{m}')" for m in D.STRONG) + ")"
@@ -197,7 +198,7 @@ SQL = {
       coalesce(CASE lower(trim(CASE WHEN ({_OWN_STATUS}) <> '' THEN {_OWN_STATUS} ELSE 'accepted' END)) {_STATUS} END, 'active') AS status FROM h""",
     "x_incidents": rf"""WITH {_FILES}, g AS (SELECT *, trim(regexp_extract({_BODY}, '(?m)^#{{1,3}}\s+(.+)$', 1)) AS hd, {_DATE} AS dd FROM f), h AS (SELECT *, CASE WHEN hd <> '' THEN hd ELSE {_STEM} END AS title, CASE WHEN dd <> '' THEN dd ELSE day END AS ts FROM g)
       SELECT path, 'evt-incident-' || {slug('title')} || '-' || substr(digest, 1, 8) AS id, ts, title, {_IMPACT} AS impact, 'inc-' || replace(ts, '-', '') || '-' || {slug('title')} AS inc_id FROM h""",
-    "d_directories": f"WITH {_FILES}, {_STATS} SELECT dir, here, tree, readmes, depth FROM stats",
+    "d_directories": f"WITH {_FILES}, {_STATS} SELECT dir, here, tree, readmes, has_index, depth FROM stats",
     "d_candidates": f"""WITH {_FILES}, {_STATS}, k AS (SELECT *, {_CLASS} AS cl, CASE WHEN {_CLASS} IS NOT NULL THEN 'vocab' WHEN readmes >= 5 AND readmes * 2 >= tree THEN 'readme' WHEN here >= 3 OR tree >= 8 THEN 'volume' END AS reason FROM stats WHERE dir <> '.' AND depth <= 3 AND tree > 0)
       SELECT dir, tree, reason, CASE WHEN reason = 'readme' THEN 'doc' ELSE coalesce(split_part(cl, '|', 1), '') END AS adapter, CASE WHEN reason = 'readme' THEN 'design' ELSE coalesce(split_part(cl, '|', 2), '') END AS kind FROM k WHERE reason IS NOT NULL""",
     "d_outliers": rf"""WITH {_FILES}, n AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, path, len(string_split(t, chr(10)))::bigint AS n_lines FROM f), m AS (SELECT dir, greatest(1, list_sort(list(n_lines))[len(list(n_lines)) // 2 + 1])::bigint AS median FROM n GROUP BY dir HAVING count(*) >= 3),

@@ -16,6 +16,10 @@ KINDS = (
 GENERATED = ("auto-generated", "autogenerated", "automatically generated", "@generated", "do not edit", "code generated by", "this file is generated", "generated file", "generated by protoc", "generated documentation")
 STRONG = ("do not edit", "@generated", "code generated by")
 COMMENTS = ("<!--", "//", "#", "/*", "*", "--", ";", "%")
+# Directories that hold no knowledge of their own, and files that list what is beside them.
+SKIP_DIRS = ("node_modules", "venv", "target", "build", "dist", "vendor", "__pycache__", "site-packages", "testdata", "fixtures", "third_party", "thirdparty", "translations", "i18n", "locale", "locales", "l10n")
+INDEX_FILES = ("readme.md", "readme", "index.md", "index.rst")
+SAMPLES = 5
 MIN_HERE, MIN_TREE, README_MIN, CAP = 3, 8, 5, 12
 OUTLIER_LINES, OUTLIER_RATIO, MAX_SUSPECT = 800, 6, 5
 
@@ -27,15 +31,60 @@ def ancestors(path: Column) -> Column:
     return F.when(F.size(parts) > 1, F.concat(F.array(F.lit(".")), up)).otherwise(F.array(F.lit(".")))
 
 
-def directory_stats(files: DataFrame) -> DataFrame:
-    """Knowledge files in and below each directory: ``dir``, ``here``, ``tree``, ``readmes``, ``depth``."""
+def visible(path: Column) -> Column:
+    """Whether no directory above a file is hidden or one of those that are skipped."""
+    above = F.slice(F.split(path, "/"), 1, F.greatest(F.lit(0), F.size(F.split(path, "/")) - 1))
+    return ~F.exists(above, lambda d: d.startswith(".") | F.lower(d).isin(*SKIP_DIRS))
+
+
+def extension(name: Column) -> Column:
+    """Ending of a file name; README and OWNERS stand for themselves, others without one for (none)."""
+    end = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
+    return F.when(end != "", end).when(name.isin("README", "OWNERS"), name).otherwise("(none)")
+
+
+def extensions(files: DataFrame, top: int = 6) -> DataFrame:
+    """The most frequent endings below each directory: ``dir``, ``extension``, ``n``, ``rank``."""
+    d = files.where(visible(F.col("path"))).select(F.explode(ancestors(F.col("path"))).alias("dir"), extension(F.element_at(F.split("path", "/"), -1)).alias("extension"))
+    n = d.groupBy("dir", "extension").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("n"), "extension"))).where(F.col("rank") <= top)
+
+
+def samples(files: DataFrame, top: int = SAMPLES) -> DataFrame:
+    """The first knowledge files below each directory, its own before those of its directories: ``dir``, ``sample``, ``pos``.
+
+    Ranked in chunks by hash first, so that no task orders all files of a large tree.
+    """
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    d = files.where(visible(F.col("path")) & (F.endswith(name, F.lit(".md")) | (name == "README"))).select("path", F.explode(ancestors(F.col("path"))).alias("dir"))
+    rest = F.when(F.col("dir") == ".", F.col("path")).otherwise(F.substring("path", F.length("dir") + 2, F.length("path")))
+    d = d.withColumn("sample", rest).withColumn("order", F.transform(F.split("sample", "/"), lambda x, i: F.concat(F.when(i + 1 == F.size(F.split("sample", "/")), "0").otherwise("1"), x)))
+    d = d.withColumn("chunk", F.pmod(F.xxhash64("path"), F.lit(64)))
+    d = d.withColumn("r", F.row_number().over(Window.partitionBy("dir", "chunk").orderBy("order"))).where(F.col("r") <= top)
+    return d.withColumn("pos", F.row_number().over(Window.partitionBy("dir").orderBy("order"))).where(F.col("pos") <= top).select("dir", "sample", F.col("pos").cast("bigint").alias("pos"))
+
+
+def directory_stats(files: DataFrame, nested: DataFrame | None = None) -> DataFrame:
+    """Knowledge files in and below each directory: ``dir``, ``here``, ``tree``, ``readmes``, ``has_index``, ``depth``.
+
+    Hidden and skipped directories are left out.  ``nested`` (``repo``) names repositories inside the tree: their files
+    count in their own directories only, whose depth starts there.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    d = files.select("path", name.alias("name"), F.explode(ancestors(F.col("path"))).alias("dir"))
+    files = files.where(visible(F.col("path")))
+    if nested is None:
+        d = files.select("path", name.alias("name"), F.explode(ancestors(F.col("path"))).alias("dir"), F.lit(".").alias("repo"))
+    else:
+        own = files.join(assigned_repo(files, nested), "path")
+        inside = lambda x: (F.col("repo") == ".") | (x == F.col("repo")) | F.startswith(x, F.concat("repo", F.lit("/")))
+        d = own.select("path", name.alias("name"), "repo", F.explode(F.filter(ancestors(F.col("path")), inside)).alias("dir"))
     knows = F.endswith(F.col("name"), F.lit(".md")) | (F.col("name") == "README")
     own = F.when(F.col("dir") == ".", F.col("name") == F.col("path")).otherwise(F.concat_ws("/", "dir", "name") == F.col("path"))
     n = lambda c: F.sum(c.cast("bigint"))
-    d = d.groupBy("dir").agg(n(knows & own).alias("here"), n(knows).alias("tree"), n(F.col("name") == "README").alias("readmes"))
-    return d.withColumn("depth", F.when(F.col("dir") == ".", 0).otherwise(F.size(F.split("dir", "/"))).cast("bigint"))
+    d = d.groupBy("repo", "dir").agg(n(knows & own).alias("here"), n(knows).alias("tree"), n(F.col("name") == "README").alias("readmes"), F.coalesce(F.bool_or(own & F.lower("name").isin(*INDEX_FILES)), F.lit(False)).alias("has_index"))
+    levels = F.size(F.split("dir", "/")) - F.when(F.col("repo") == ".", 0).otherwise(F.size(F.split("repo", "/")))
+    return d.withColumn("depth", F.when(F.col("dir") == ".", 0).otherwise(levels).cast("bigint"))
 
 
 def classify(name: Column) -> Column:
@@ -52,7 +101,7 @@ def candidates(stats: DataFrame, depth: int = 3) -> DataFrame:
     c = classify(F.element_at(F.split("dir", "/"), -1))
     readme = (F.col("readmes") >= README_MIN) & (F.col("readmes") * 2 >= F.col("tree"))
     reason = F.when(c.isNotNull(), "vocab").when(readme, "readme").when((F.col("here") >= MIN_HERE) | (F.col("tree") >= MIN_TREE), "volume")
-    d = stats.where((F.col("dir") != ".") & (F.col("depth") <= depth) & (F.col("tree") > 0)).withColumn("reason", reason).where("reason IS NOT NULL")
+    d = stats.where((F.col("depth") > 0) & (F.col("depth") <= depth) & (F.col("tree") > 0)).withColumn("reason", reason).where("reason IS NOT NULL")
     adapter = F.when(F.col("reason") == "readme", "doc").otherwise(F.coalesce(c["adapter"], F.lit("")))
     kind = F.when(F.col("reason") == "readme", "design").otherwise(F.coalesce(c["kind"], F.lit("")))
     return d.select("dir", "depth", "here", "tree", "readmes", "reason", adapter.alias("adapter"), kind.alias("kind"))
