@@ -116,19 +116,31 @@ def touch_ids(log: DataFrame) -> DataFrame:
 def temporal_events(log: DataFrame, relations: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """Ids of the events of a topic: those that touch its nodes, grown over references and temporal edges.
 
-    ``seeds`` (``id``) are the matched entities, their events and the events matched by title.  Rounds are level by
-    level, max(hops, 1) + 1 of them; events found in a round widen the topic for the next.
+    ``seeds`` (``id``) are the matched entities, their events and the events matched by title.  There are max(hops, 1) + 1
+    rounds.  A round goes through the log in order, by raw stamp and id: an event that touches the topic joins it, and
+    what it refers to counts for the events after it in the same round, for those before it from the next round on.  Then
+    temporal edges lead one step further.  Instead of event by event a round runs in waves: a wave takes all events that
+    lie behind the earliest event which brought in one of their nodes, until a wave takes none.
     """
-    touch = cut(touch_ids(log), "touch")
+    at = F.struct("ts", "id")
+    touch = cut(touch_ids(log).join(log.select(F.col("id").alias("event_id"), at.alias("pos")), "event_id"), "touch")
     refs = log.select("id", F.explode(F.filter("refs", lambda r: r["kind"].isin(*NODE_REF_KINDS))).alias("r")).select(F.col("id").alias("event_id"), clean_id(F.col("r.id")).alias("node")).where("node IS NOT NULL")
+    brings = cut(refs.unionByName(log.select(F.col("id").alias("event_id"), F.col("id").alias("node"))).distinct(), "brings")
     moving = relations.where(F.col("predicate").isin(*TEMPORAL)).select("source", "target")
     edges = cut(moving.unionByName(moving.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct(), "edges")
     nodes, size = cut_counted(seeds.select(F.col("id").alias("node")).distinct(), "nodes")
     for _ in range(max(hops, 1) + 1):
-        events = touch.join(nodes, "node", "left_semi").select("event_id").distinct()
-        named = refs.join(events, "event_id", "left_semi").select("node")
-        along = edges.join(nodes.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node"))
-        nodes, now = cut_counted(nodes.unionByName(events.select(F.col("event_id").alias("node"))).unionByName(named).unionByName(along).distinct(), "nodes")
+        taken, wave_size = cut_counted(touch.join(nodes, "node", "left_semi").select("event_id", "pos").distinct(), "wave")
+        wave = taken
+        while wave_size:
+            # The earliest event of the wave that brought a node in; nodes of the topic were there before.
+            new = brings.join(wave, "event_id").groupBy("node").agg(F.min("pos").alias("since")).join(nodes, "node", "left_anti")
+            more = touch.join(new, "node").where("pos > since").select("event_id", "pos").distinct().join(taken.select("event_id"), "event_id", "left_anti")
+            wave, wave_size = cut_counted(more, "wave")
+            taken = taken.unionByName(wave)
+        grown = cut(nodes.unionByName(brings.join(taken.select("event_id"), "event_id", "left_semi").select("node")).distinct(), "grown")
+        along = edges.join(grown.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("target").alias("node"))
+        nodes, now = cut_counted(grown.unionByName(along).distinct(), "nodes")
         if now == size:
             break
         size = now

@@ -111,6 +111,19 @@ _SCORED = f"""{ENT}, sc0 AS (SELECT *, try_cast(regexp_replace(nullif(last_touch
   scored AS (SELECT *, CASE WHEN score >= 0.55 THEN 'hot' WHEN score >= 0.30 THEN 'warm' ELSE 'cold' END AS tier FROM sc2)"""
 _COST = r"""greatest(1, floor(coalesce(list_sum(list_transform(regexp_extract_all(line, '[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]'), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z0-9]') THEN ceil(length(r) / 3.0) ELSE 1 END)), 0) * 1.2))::bigint"""
 
+
+
+def rounds(log: str = "log", rel: str = "rel") -> str:
+    """CTEs that grow ``n0`` (``node``) by three rounds in the order of the log into ``topic`` (``id``)."""
+    out = f"""rfs AS (SELECT id AS event_id, {cid('r.id')} AS node FROM (SELECT id, unnest(refs) AS r FROM {log}) WHERE r.kind IN {graph.NODE_REF_KINDS} AND {cid('r.id')} IS NOT NULL), brings AS (SELECT * FROM rfs UNION SELECT id, id FROM {log}),
+      drl AS (SELECT id AS event_id, unnest(derived_relations) AS r FROM {log}), touch AS (SELECT event_id, node, row(ts, event_id) AS pos FROM (SELECT id AS event_id, id AS node FROM {log} UNION SELECT event_id, node FROM rfs UNION SELECT event_id, {cid('r.source')} FROM drl WHERE r.predicate IN {graph.TEMPORAL} UNION SELECT event_id, {cid('r.target')} FROM drl WHERE r.predicate IN {graph.TEMPORAL} UNION SELECT id, {cid('x')} FROM (SELECT id, unnest(supersedes) AS x FROM {log})) t JOIN (SELECT id, ts FROM {log}) l ON l.id = t.event_id WHERE node IS NOT NULL),
+      tmp AS (SELECT source AS s, target AS t FROM {rel} WHERE predicate IN {graph.TEMPORAL} UNION SELECT target, source FROM {rel} WHERE predicate IN {graph.TEMPORAL})"""
+    for k in (1, 2, 3):
+        out += f""", e{k} AS (SELECT event_id, pos FROM touch WHERE node IN (SELECT node FROM n{k - 1}) UNION SELECT t.event_id, t.pos FROM e{k} e JOIN brings b ON b.event_id = e.event_id JOIN touch t ON t.node = b.node AND t.pos > e.pos),
+      g{k} AS (SELECT node FROM n{k - 1} UNION SELECT node FROM brings WHERE event_id IN (SELECT event_id FROM e{k})), n{k} AS (SELECT node FROM g{k} UNION SELECT t FROM tmp WHERE s IN (SELECT node FROM g{k}))"""
+    return out + f", topic AS (SELECT id FROM {log} WHERE id IN (SELECT node FROM n3))"
+
+
 SQL = {
     "g_hubs": f"{_HUBS} SELECT id, degree FROM hubs",
     "g_subgraph": f"{_HUBS} {_NEAR}",
@@ -120,14 +133,7 @@ SQL = {
       SELECT alias, nxt AS canonical FROM (SELECT alias, arg_max(nxt, len(seen)) AS nxt FROM walk GROUP BY alias) WHERE alias <> nxt""",
     "g_profile_candidates": f"""WITH {ENT}, {REL}, deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM rel UNION ALL SELECT target FROM rel) GROUP BY id), ev AS (SELECT id, len(list_distinct(source_events)) AS n_events FROM ent)
       SELECT ent.id, ent.type, n_events, coalesce(degree, 0) AS degree, coalesce(degree, 0) + n_events AS weight FROM ent JOIN ev USING (id) LEFT JOIN deg USING (id) WHERE type <> 'secret-ref' AND n_events >= 3 ORDER BY weight DESC, id LIMIT 12""",
-    "g_temporal_events": f"""WITH {LOG}, {REL}, rfs AS (SELECT id AS event_id, {cid('r.id')} AS node FROM (SELECT id, unnest(refs) AS r FROM log) WHERE r.kind IN {graph.NODE_REF_KINDS} AND {cid('r.id')} IS NOT NULL),
-      drl AS (SELECT id AS event_id, unnest(derived_relations) AS r FROM log), touch AS (SELECT id AS event_id, id AS node FROM log UNION SELECT event_id, node FROM rfs UNION SELECT event_id, {cid('r.source')} FROM drl WHERE r.predicate IN {graph.TEMPORAL} UNION SELECT event_id, {cid('r.target')} FROM drl WHERE r.predicate IN {graph.TEMPORAL} UNION SELECT id, {cid('x')} FROM (SELECT id, unnest(supersedes) AS x FROM log)),
-      tmp AS (SELECT source AS s, target AS t FROM rel WHERE predicate IN {graph.TEMPORAL} UNION SELECT target, source FROM rel WHERE predicate IN {graph.TEMPORAL}),
-      n0 AS (SELECT unnest([{_C}]) AS node),
-  h1 AS (SELECT DISTINCT event_id FROM touch WHERE node IN (SELECT node FROM n0)), n1 AS (SELECT node FROM n0 UNION SELECT event_id FROM h1 UNION SELECT node FROM rfs WHERE event_id IN (SELECT event_id FROM h1) UNION SELECT t FROM tmp WHERE s IN (SELECT node FROM n0)),
-  h2 AS (SELECT DISTINCT event_id FROM touch WHERE node IN (SELECT node FROM n1)), n2 AS (SELECT node FROM n1 UNION SELECT event_id FROM h2 UNION SELECT node FROM rfs WHERE event_id IN (SELECT event_id FROM h2) UNION SELECT t FROM tmp WHERE s IN (SELECT node FROM n1)),
-  h3 AS (SELECT DISTINCT event_id FROM touch WHERE node IN (SELECT node FROM n2)), n3 AS (SELECT node FROM n2 UNION SELECT event_id FROM h3 UNION SELECT node FROM rfs WHERE event_id IN (SELECT event_id FROM h3) UNION SELECT t FROM tmp WHERE s IN (SELECT node FROM n2)),
-      fin AS (SELECT id FROM log WHERE id IN (SELECT node FROM n3)) SELECT id FROM fin""",
+    "g_temporal_events": f"WITH RECURSIVE {LOG}, {REL}, n0 AS (SELECT unnest([{_C}]) AS node), {rounds()} SELECT id FROM topic",
     "m_scores": f"WITH {_SCORED} SELECT id, score, tier FROM scored",
     "m_domain_tiers": f"""WITH {_SCORED}, x AS (SELECT id, score, tier, unnest(CASE WHEN len(domains) > 0 THEN domains ELSE ['general'] END) AS raw FROM scored), y AS (SELECT *, coalesce(nullif({slug('raw')}, ''), 'general') AS domain FROM x)
       SELECT domain, count(*) AS n_entities, sum((tier = 'hot')::bigint)::bigint AS n_hot, max(score) AS best FROM y GROUP BY domain""",
