@@ -198,13 +198,17 @@ def _resolve(d: DataFrame, zone: Column | None) -> DataFrame:
     d = d.withColumn("zone_key", F.when(F.col("t_offset").isNull() & (own != "utc"), own))
     # A year behind the table is read as the year of the same calendar among its last 28, moved by whole days.
     january = lambda y: f"(365 * ({y} - 1) + ({y} - 1) div 4 - ({y} - 1) div 100 + ({y} - 1) div 400)"
-    same = {zones.kind(y): y for y in range(zones.LAST_YEAR - 27, zones.LAST_YEAR + 1)}
-    like = f"element_at(array({', '.join(f'{same[k]}L' for k in range(14))}), cast(7 * ({january('(t_year + 1)')} - {january('t_year')} - 365) + {january('t_year')} % 7 + 1 AS int))"
-    names, changes, width, since = zones.zone_tables(d.sparkSession)
-    # Both tables have a size fixed by the zone database: about 600 names and 100,000 rows of changes.
+
+    def same(last: int) -> str:
+        year = {zones.kind(y): y for y in range(last - 27, last + 1)}
+        return f"array({', '.join(f'{year[k]}L' for k in range(14))})"
+
+    like = f"element_at(CASE zone_last WHEN {zones.LAST_YEAR} THEN {same(zones.LAST_YEAR)} ELSE {same(zones.FAR_YEAR)} END, cast(7 * ({january('(t_year + 1)')} - {january('t_year')} - 365) + {january('t_year')} % 7 + 1 AS int))"
+    names, changes, width = zones.zone_tables(d.sparkSession)
+    # Both tables have a size fixed by the zone database: about 600 names and 60,000 rows of changes.
     d = d.join(F.broadcast(names), "zone_key", "left")
-    d = d.withColumn("zone_year", F.when(F.col("zone_number").isNotNull(), F.expr(f"CASE WHEN t_year > {zones.LAST_YEAR} THEN {like} ELSE greatest({since}L, t_year) END")))
-    d = d.withColumn("zone_moved", F.expr(f"CASE WHEN t_year > {zones.LAST_YEAR} THEN {january('t_year')} - {january('zone_year')} ELSE 0L END"))
+    d = d.withColumn("zone_year", F.when(F.col("zone_number").isNotNull(), F.expr(f"greatest(zone_since, CASE WHEN t_year > zone_last THEN {like} ELSE t_year END)")))
+    d = d.withColumn("zone_moved", F.expr(f"CASE WHEN t_year > zone_last THEN {january('t_year')} - {january('zone_year')} ELSE 0L END"))
     d = d.withColumn("zone_slot", F.expr("zone_number * 10000 + zone_year")).join(F.broadcast(changes), "zone_slot", "left")
     local = "(t_local div 1000000 - CASE WHEN t_local % 1000000 < 0 THEN 1 ELSE 0 END - zone_moved * 86400)"
     found = "CASE " + " ".join(f"WHEN {local} >= zone_t{k} THEN zone_o{k}" for k in range(width, 0, -1)) + " ELSE zone_o0 END"

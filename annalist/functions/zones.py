@@ -1,6 +1,6 @@
 """Versioned zone transition tables, read from the IANA database of the driver.
 
-One row per zone and local year, from the first change of any zone on: the offset at the start of that year and every
+One row per zone and local year, from the first change of the zone on: the offset at the start of that year and every
 change in it, each with the local clock reading from which the new offset holds.  Zones of equal content share their rows.  For a change at UTC second T from offset a to offset b that
 reading is T + max(a, b): clock readings that occur twice then mean their first occurrence, and readings that are
 skipped count with the offset before the change.
@@ -19,9 +19,10 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: The last 28 years lie behind all listed changes (the latest are those of 2087) and within one century, so that each later
-#: year has one of the same calendar among them and the rule of the zone holds for both.
-LAST_YEAR = 2128
+#: Last years of the tables: of zones whose changes are listed up to 2037, and of those with later ones (the latest are
+#: of 2087).  The 28 years up to each lie behind the listed changes and within one century, so that every later year has
+#: one of the same calendar among them, and the rule of the zone holds for both.
+LAST_YEAR, FAR_YEAR = 2065, 2128
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
@@ -105,10 +106,14 @@ def _by_rule(key: str, since: int, until: int) -> list[tuple[int, int]]:
     return out
 
 
+def last_year(seconds: list[int]) -> int:
+    return FAR_YEAR if seconds and seconds[-1] >= _second(2038) else LAST_YEAR
+
+
 def transitions(key: str) -> tuple[list[int], list[int], int]:
     seconds, offsets, first = _explicit(key)
-    end = _second(LAST_YEAR + 1) - 1
     last = seconds[-1] if seconds else 0
+    end = _second(last_year(seconds) + 1) - 1
     # Without a comma the rule behind the listed changes is one fixed offset.
     if last < end and b"," in _raw(key).rstrip(b"\n").rpartition(b"\n")[2]:
         for s, o in _by_rule(key, max(last, 0), end):
@@ -118,15 +123,16 @@ def transitions(key: str) -> tuple[list[int], list[int], int]:
 
 
 @functools.lru_cache(maxsize=1)
-def rows() -> tuple[pa.Table, pa.Table, int, int]:
-    """Zone names with their number, the changes by number and year, the most changes in a year, and the first year.
+def rows() -> tuple[pa.Table, pa.Table, int]:
+    """Zone names with their number and first and last year, the changes by number and year, the most changes in a year.
 
-    The key of the second table is number * 10,000 + year.  Before the first year the offset before all changes holds
-    everywhere.  The size is fixed by the zone database: about 600 names, and 350 contents times 290 years.
+    The key of the second table is number * 10,000 + year.  Before its first year a zone has the offset before all its
+    changes.  The size is fixed by the zone database: about 600 names, and 350 contents times 170 years.
     """
     numbers: dict[bytes, int] = {}
-    names: list[tuple[str, int]] = []
-    contents: list[tuple[int, list[int], list[int]]] = []
+    names: list[tuple[str, int, int, int]] = []
+    spans: list[tuple[int, int]] = []
+    found: list[tuple[int, int, list[tuple[int, int]]]] = []
     for key in sorted(zoneinfo.available_timezones()):
         if key.startswith(("posix/", "right/")) or key in ("localtime", "posixrules"):
             continue
@@ -136,29 +142,29 @@ def rows() -> tuple[pa.Table, pa.Table, int, int]:
                 seconds, offsets, first = transitions(key)
                 numbers[raw] = len(numbers)
                 before = [first, *offsets]
-                contents.append((numbers[raw], [s + max(before[i], before[i + 1]) for i, s in enumerate(seconds)], before))
+                local = [s + max(before[i], before[i + 1]) for i, s in enumerate(seconds)]
+                last = last_year(_explicit(key)[0])
+                since = (_EPOCH + dt.timedelta(seconds=local[0])).year if local else last
+                spans.append((since, last))
+                for y in range(since, last + 1):
+                    i, j = bisect_right(local, _second(y) - 1), bisect_right(local, _second(y + 1) - 1)
+                    found.append((numbers[raw] * 10_000 + y, before[i], [(local[k], before[k + 1]) for k in range(i, j)]))
         except (OSError, struct.error, ModuleNotFoundError, zoneinfo.ZoneInfoNotFoundError):
             continue
-        names.append((key.lower(), numbers[raw]))
-    start = dt.datetime.fromtimestamp(0, dt.timezone.utc) + dt.timedelta(seconds=min((local[0] for _, local, _ in contents if local), default=0))
-    since = start.year
-    found: list[tuple[int, int, list[tuple[int, int]]]] = []
-    for number, local, before in contents:
-        for y in range(since, LAST_YEAR + 1):
-            i, j = bisect_right(local, _second(y) - 1), bisect_right(local, _second(y + 1) - 1)
-            found.append((number * 10_000 + y, before[i], [(local[k], before[k + 1]) for k in range(i, j)]))
+        names.append((key.lower(), numbers[raw], *spans[numbers[raw]]))
     width = max((len(r[2]) for r in found), default=0)
     columns = {"zone_slot": pa.array([r[0] for r in found], pa.int64()), "zone_o0": pa.array([r[1] for r in found], pa.int32())}
     for k in range(width):
         columns[f"zone_t{k + 1}"] = pa.array([r[2][k][0] if k < len(r[2]) else None for r in found], pa.int64())
         columns[f"zone_o{k + 1}"] = pa.array([r[2][k][1] if k < len(r[2]) else None for r in found], pa.int32())
-    return pa.table({"zone_key": [n for n, _ in names], "zone_number": pa.array([k for _, k in names], pa.int64())}), pa.table(columns), width, since
+    heads = {"zone_key": [n[0] for n in names]} | {c: pa.array([n[i] for n in names], pa.int64()) for i, c in ((1, "zone_number"), (2, "zone_since"), (3, "zone_last"))}
+    return pa.table(heads), pa.table(columns), width
 
 
-def zone_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, int, int]:
-    """(names, changes, most changes in a year, first year), both tables made once a session."""
-    names, changes, width, since = rows()
+def zone_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame, int]:
+    """(names, changes, most changes in a year), both tables made once a session."""
+    names, changes, width = rows()
     held = getattr(spark, "_annalist_zones", None)
     if held is None:
         held = spark._annalist_zones = (spark.createDataFrame(names), spark.createDataFrame(changes))
-    return *held, width, since
+    return *held, width
