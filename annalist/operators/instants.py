@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.functions.ids import clean_id, clean_str
-from annalist.functions.timestamps import CANONICAL, format_us, needs_source, with_instant
+from annalist.functions import zones
+from annalist.functions.ids import WHITE, clean_id, clean_str
+from annalist.functions.timestamps import CANONICAL, format_us, needs_source, shape_mask, with_instant
 
 
 def formats_of(source_formats: DataFrame) -> DataFrame:
@@ -56,3 +57,14 @@ def found(events: DataFrame, relations: DataFrame, source_formats: DataFrame) ->
     r = relation_instants(relations, events, source_formats, ["row_id", "ts"]).withColumn("tbl", F.lit("relations"))
     d = e.unionByName(r).where(F.col("instant_us").isNotNull() & ~F.col("ts").rlike(CANONICAL))
     return d.select("tbl", F.col("row_id").cast("bigint").alias("row_id"), format_us("instant_us").alias("ts_utc"))
+
+
+def masks(events: DataFrame, relations: DataFrame, source_formats: DataFrame) -> DataFrame:
+    """How stamps are written: ``tbl``, ``mask``, ``n_rows``, ``n_instants`` (how many of them denote an instant) and
+    ``zone_version``, the release of the zone tables the instants rest on.  Masks without instants are those that the
+    grammar does not know, or of impossible dates; null stamps have the mask ''."""
+    e = event_instants(events, source_formats, ["row_id", "ts"]).withColumn("tbl", F.lit("event_log"))
+    r = relation_instants(relations, events, source_formats, ["row_id", "ts"]).withColumn("tbl", F.lit("relations"))
+    mask = F.coalesce(shape_mask(F.regexp_replace(F.btrim("ts", F.lit(WHITE)), r"\s+", " ")), F.lit(""))
+    d = e.unionByName(r).groupBy("tbl", mask.alias("mask")).agg(F.count(F.lit(1)).alias("n_rows"), F.count("instant_us").alias("n_instants"))
+    return d.withColumn("zone_version", F.lit(zones.version()))

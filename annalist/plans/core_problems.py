@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist.operators import asof, hierarchy, history, instants, orphans
-from annalist.plans.sqlkit import FMT_US, FORMATS, PREFIX, cid, instant_cte
-from annalist.session import scratch_path, table
+from annalist.functions import zones
+from annalist.plans.sqlkit import FMT_US, FORMATS, PREFIX, WS, cid, instant_cte
+from annalist.session import cut, scratch_path, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -43,7 +44,23 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.found(table(spark, d, "event_log"), table(spark, d, "relations"), table(spark, d, "source_formats"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p5_ranges, p6_found, p6_report, p7_found)}
+def p7_masks(spark: SparkSession, d: str) -> DataFrame:
+    return instants.masks(table(spark, d, "event_log"), table(spark, d, "relations"), table(spark, d, "source_formats"))
+
+
+def _sets(spark: SparkSession, d: str) -> DataFrame:
+    return cut(hierarchy.nested_sets(cut(hierarchy.links(table(spark, d, "entities"), table(spark, d, "event_log")), "links"))[0], "sets")
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(_sets(spark, d))
+
+
+def p5_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.ancestors(_sets(spark, d)).select("id", "ancestor_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p5_found, p5_ranges, p5_descendants, p5_ancestors, p6_found, p6_report, p7_found, p7_masks)}
 
 _E = instant_cte("ei", "SELECT e.*, fo.zone, fo.date_order AS ord FROM event_log e LEFT JOIN fo ON fo.source = lower(nullif(trim(e.source), ''))")
 _SRC = f"src AS (SELECT {cid('id')} AS id, min(lower(nullif(trim(source), ''))) AS source FROM event_log GROUP BY 1)"
@@ -76,6 +93,11 @@ SQL = {
     "p5_found": f"WITH RECURSIVE {_WALK} SELECT last.id, CASE WHEN par.id IS NULL THEN path[1] ELSE '' END AS root_id, CASE WHEN par.id IS NULL THEN len(path) - 1 ELSE -1 END AS depth, CASE WHEN par.id IS NULL THEN array_to_string(path, '>') ELSE '' END AS path FROM last LEFT JOIN par ON par.id = last.top",
     "p5_ranges": f"""WITH RECURSIVE {_WALK}, t AS (SELECT last.id, path[1] AS root_id, path FROM last LEFT JOIN par ON par.id = last.top WHERE par.id IS NULL), a AS (SELECT x, count(*) - 1 AS n FROM (SELECT unnest(path) AS x FROM t) GROUP BY x),
       r AS (SELECT t.*, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS lft FROM t) SELECT r.id, root_id, lft, lft + n AS rgt, n AS n_descendants FROM r JOIN a ON a.x = r.id""",
+    "p5_descendants": f"WITH RECURSIVE {_WALK}, t AS (SELECT last.id, unnest(path) AS up FROM last LEFT JOIN par ON par.id = last.top WHERE par.id IS NULL) SELECT up AS id, id AS descendant_id FROM t WHERE up <> id",
+    "p5_ancestors": f"WITH RECURSIVE {_WALK}, t AS (SELECT last.id, unnest(path) AS up FROM last LEFT JOIN par ON par.id = last.top WHERE par.id IS NULL) SELECT id, up AS ancestor_id FROM t WHERE up <> id",
+    "p7_masks": rf"""WITH {FORMATS}, {_SRC}, {_E}, {_R}, x AS (SELECT 'event_log' AS tbl, ts, us FROM ei UNION ALL SELECT 'relations', ts, us FROM ri),
+      m AS (SELECT tbl, us, regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(trim(ts, {WS}), '\s+', ' ', 'g'), '\[[^\]]+\]$', '[a]'), '[A-Za-z]+', 'a', 'g'), '012345678', '999999999'), '(:99:99|a999999)[.,]9+', '\1.f', 'g') AS k FROM x)
+      SELECT tbl, coalesce(regexp_replace(regexp_replace(k, '(^|[^9])9([^9]|$)', '\1' || '99' || '\2', 'g'), '(^|[^9])9([^9]|$)', '\1' || '99' || '\2', 'g'), '') AS mask, count(*) AS n_rows, count(us) AS n_instants, '{zones.version()}' AS zone_version FROM m GROUP BY ALL""",
     "p6_found": f"WITH {_P6} SELECT tbl, row_id, field, missing_id, reason, period FROM bad WHERE reason IS NOT NULL",
     "p6_report": f"WITH {_P6} SELECT tbl, field, reason, period, count(*) AS n_refs, count(DISTINCT row_id) AS n_rows, count(DISTINCT missing_id) AS n_ids FROM bad WHERE reason IS NOT NULL GROUP BY ALL",
     "p7_found": f"WITH {FORMATS}, {_SRC}, {_E}, {_R} SELECT tbl, row_id, {FMT_US.format('us')} AS ts_utc FROM (SELECT 'event_log' AS tbl, row_id, ts, us FROM ei UNION ALL SELECT 'relations', row_id, ts, us FROM ri) WHERE us IS NOT NULL AND NOT regexp_matches(ts, {_CANON})",

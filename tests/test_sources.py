@@ -212,10 +212,44 @@ def test_knowledge_base(spark, tmp_path):
     assert t["scores"].count() == 2 and t["hot"].where("kept").count() >= 1
     kb.index(spark.createDataFrame([("quartz", "1", "onyx ledger")], "repo string, id string, name string"), spark.createDataFrame([], "repo string, source string, target string, label string"))
     assert kb.seed_anchors().count() == kb.seed_anchors().count() >= 1
+    said = kb.answer("quartz ledger")
+    assert "## Matched entities" in said and "svc-quartz (service) [SUPERSEDED by svc-onyx]: Quartz Ledger" in said and "(svc-onyx) --[supersedes]--> (svc-quartz)  [evt-2]" in said
+    assert "- evt-2 (decision, 2024-02-01, impact=low): step 2 of the quartz ledger" in said and kb.answer("zzz") == "(no knowledge found)"
+    assert "SUPERSEDED" in kb.timeline_text("quartz ledger")
     kb.pack()
     assert kb.log().count() == 2
 
 
+def test_goals_are_set_and_files_checked(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kb"))
+    kb.append(frame(spark, "event_log", [{"id": "evt-1", "type": "plan", "ts": "2024-01-01", "title": "t", "derived_entities": [{"id": "goal-a", "type": "goal", "name": "A"}]}]))
+    kb.set_goal("goal-a", "achieved", "2024-02-01")
+    assert [(r["id"], r["status"]) for r in kb.goals().collect()] == [("goal-a", "achieved")]
+    with pytest.raises(LookupError):
+        kb.set_goal("goal-b", "dropped", "2024-02-01")
+    with pytest.raises(ValueError):
+        kb.set_goal("goal-a", "lost", "2024-02-01")
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.toon").write_text("x: 1\n")
+    (tmp_path / "f" / "b.toon").write_text("no entry\n")
+    (tmp_path / "f" / "c.toon").write_text('k: "password = hunter2hunter2"\n')
+    assert {(r["path"][-6:], r["kind"]) for r in kb.check_files(str(tmp_path / "f")).collect()} == {("b.toon", "parse"), ("c.toon", "secret")}
+
+
+def test_what_is_left_out_of_an_answer_is_said(spark):
+    from pyspark.sql import Row
+
+    from annalist.operators import render
+
+    v = [Row(id=f"evt-{i}", type="note", ts=f"2024-01-0{i}", impact="low", trust="low", disputed=True, title="t", summary="s", refs=[Row(kind=k, id=k) for k in ("file", "doc", "commit", "pr")]) for i in range(1, 8)]
+    r = [Row(source="a", predicate="p", target=str(i), provenance="") for i in range(12)]
+    said = render.answer([], [Row(id="evt-9", type="note", ts="2024-01-09", title="x undone", undone="abc", citation="abc")], r, 20, 3, v, 9)
+    assert "... +8 more relations" in said and "3 further relations" in said and "... +4 more source events" in said and "... +1 more refs" in said
+    assert said.index("ref commit") < said.index("ref pr") < said.index("ref file") and "NOT PRESENT (reverted 2024-01-09): x undone  [abc]" in said and "[DISPUTED] [trust=low]" in said
+    rows_ = [Row(ts="2024", id=str(i), action=a, detail="d" * i, citation="c") for i, a in enumerate(("added", "REVERTED"))]
+    assert render.timeline(rows_, 2).startswith("  ... 2 earlier") and render.timeline([], 0) == render.NOTHING
+
+
 def test_shortened_paths_resolve_where_they_fit_one_file(spark):
     files = spark.createDataFrame([("keps/sig-node/5573-remove-cgroup-v1/kep.yaml", 40), ("keps/sig-node/5573-other/kep.yaml", 10), ("src/backend/postmaster/autovacuum.c", 90), ("a/x/util.py", 5), ("b/x/util.py", 5), ("src/top.c", 9)], "path string, n_lines bigint")
     want = {
