@@ -18,6 +18,11 @@ ADR_ID = r"\b(adr-[a-z0-9][a-z0-9-]*[a-z0-9])\b"
 LANGUAGES = {".py": "Python", ".go": "Go", ".rs": "Rust", ".ts": "TypeScript", ".js": "JavaScript", ".java": "Java", ".c": "C", ".h": "C", ".cc": "C++", ".cpp": "C++", ".cs": "C#", ".rb": "Ruby", ".sh": "Shell", ".kt": "Kotlin", ".scala": "Scala"}
 CHUNK = 250
 MIN_FILES = 5
+# How messages say what they undo: a quoted subject, a clause that names commits, shas at the start of lines.
+REVERT_SUBJECT = r'^Revert\s+"?(.+?)"?\.?$'
+REVERT_CLAUSE = r"[Tt]his reverts commits?\s+((?:[0-9a-f]{7,40}(?:[\s,]+and\s+|[\s,]+)?)+)"
+SHA = r"([0-9a-f]{7,40})"
+LISTED_SHA = r"(?m)^\s*(?:[-*+]\s*)?(?:commit\s+)?([0-9a-f]{8,40})(?=[\s:]|$)"
 
 
 def commits(table: DataFrame) -> DataFrame:
@@ -69,7 +74,7 @@ def watermark(chunk_states: DataFrame) -> DataFrame:
 
 def reverts(kept: DataFrame) -> DataFrame:
     """Commits that undo others, as events: ``event_id``, ``sha``, ``what``, ``ts``."""
-    what = F.regexp_extract("subject", r'^Revert\s+"?(.+?)"?\.?$', 1)
+    what = F.regexp_extract("subject", REVERT_SUBJECT, 1)
     ident = F.concat(F.lit("evt-"), F.regexp_replace("date", "-", ""), F.lit("-"), slugify(F.col("repo")), F.lit("-revert-"), F.substring("sha", 1, 8))
     return kept.where(F.col("subject").rlike("^Revert")).select(ident.alias("event_id"), "sha", F.btrim(F.when(what == "", F.col("subject")).otherwise(what)).alias("what"), F.col("date").alias("ts"))
 
@@ -77,9 +82,9 @@ def reverts(kept: DataFrame) -> DataFrame:
 def reverted_shas(body: Column, is_revert: Column) -> Column:
     """Shas a message says it undoes, twelve characters each, in order: those of its "reverts commit" clause and, if the
     subject says it reverts, those listed at line starts."""
-    clause = F.regexp_extract(body, r"[Tt]his reverts commits?\s+((?:[0-9a-f]{7,40}(?:[\s,]+and\s+|[\s,]+)?)+)", 1)
-    named = F.regexp_extract_all(clause, F.lit(r"([0-9a-f]{7,40})"), 1)
-    listed = F.regexp_extract_all(body, F.lit(r"(?m)^\s*(?:[-*+]\s*)?(?:commit\s+)?([0-9a-f]{8,40})(?=[\s:]|$)"), 1)
+    clause = F.regexp_extract(body, REVERT_CLAUSE, 1)
+    named = F.regexp_extract_all(clause, F.lit(SHA), 1)
+    listed = F.regexp_extract_all(body, F.lit(LISTED_SHA), 1)
     found = F.concat(named, F.when(is_revert, listed).otherwise(F.array().cast("array<string>")))
     return F.array_distinct(F.transform(found, lambda s: F.substring(s, 1, 12)))
 
